@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, chat, fst_tokens, packing, pii
-from .common import table
+from . import bpe_tree, chat, fst_tokens, gam, packing, pii, ppm
+from .common import crc_mod, table
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = ppm.fit(docs, use=~held_out)
+    return ppm.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +30,13 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(table(spark, sf_dir, "documents"), "text", "byte_bpe_multi_50k.tiktoken", keep=["doc_id"])
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = gam.fit(docs, labels.filter(~held_out))
+    return gam.score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+
+
 def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(table(spark, sf_dir, "documents"), "text", keep=["doc_id"])
 
