@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, chat, fst_tokens, gam, packing, pii, ppm
+from . import bpe_tree, chat, fst_tokens, gam, jaccard, packing, pii, ppm
 from .common import crc_mod, table
 
 
@@ -26,6 +26,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_tokens.token_counts(table(spark, sf_dir, "documents"), "text", "byte_bpe_50k.json", 512, keep=["doc_id"])
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.JaccardJoin(words=5, numerator=80, denominator=100).components(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(table(spark, sf_dir, "documents"), "text", "byte_bpe_multi_50k.tiktoken", keep=["doc_id"])
 
