@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, chat, fst_tokens, gam, jaccard, packing, pii, ppm
+from . import ann, bpe_tree, chat, fst_tokens, gam, jaccard, mtree, packing, pii, ppm
 from .common import crc_mod, table
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5, scale=256.0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -45,6 +49,10 @@ def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(table(spark, sf_dir, "documents"), "text", keep=["doc_id"])
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
