@@ -70,9 +70,11 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, functi
     """Columns `keep` of df beside what the function returns for each text.
 
     function() is called once per task and returns the worker: (texts, their rows) -> {column: values}.
+    A kept column with the name of a result gives way to it.
     """
     names = [x.split()[0] for x in schema.split(",")]
-    kept = df.select(*keep, F.col(text_col).alias("__text"))
+    keep = [c for c in keep if c not in names]
+    kept = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias("__text"))
     out = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes if c != "__text")
     out = f"{out}, {schema}" if out else schema
 
