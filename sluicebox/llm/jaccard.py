@@ -300,7 +300,7 @@ class JaccardJoin:
         wanted = left.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("doc_a").alias("doc")), F.struct(F.col("b").alias("cls"), F.col("doc_b").alias("doc")))).alias("x")).select("x.*")
         bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).cast("int")
         flags = np.zeros(1 << FILTER_BITS, bool)
-        flags[[r[0] for r in wanted.select(bit("doc").alias("bit")).distinct().toLocalIterator()]] = True
+        flags[wanted.select(bit("doc").alias("bit")).distinct().toPandas()["bit"].to_numpy()] = True
         shared = texts.sparkSession.sparkContext.broadcast(np.packbits(flags))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
