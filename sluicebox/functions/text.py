@@ -75,9 +75,9 @@ def quality_points(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring signs once white space is out."""
-    compact = F.regexp_replace(text, r"\s+", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(compact) - 1), lambda i: F.substring(compact, i, F.lit(2)))
-    return F.when(F.length(compact) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+    signs = F.regexp_extract_all(F.regexp_replace(text, r"\s+", ""), F.lit("(?s)."), F.lit(0))
+    n = F.greatest(F.size(signs) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(signs, F.lit(1), n), F.slice(signs, F.lit(2), n), lambda a, b: F.concat(a, b)))
 
 
 def overlap_ratio(left: Column, right: Column) -> Column:
@@ -111,7 +111,8 @@ def json_or(text: Column, schema: str, default: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether the whole text is one JSON value; a parser of values alone takes what follows it."""
+    return F.coalesce(F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")) == 1, F.lit(False))
 
 
 def contains_any(text: Column, parts: Iterable[str]) -> Column:

@@ -1,10 +1,8 @@
-"""Named queries of the engine, and SQL that says the same."""
+"""All named queries of the engine, and SQL that says the same."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import data_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
