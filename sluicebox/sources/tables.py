@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -121,6 +122,12 @@ def inspect_tasks(rows: DataFrame, keys: tuple[str, ...] = TASK_KEYS, key: str =
     return {"rows": counts["rows"], "unique_ids": counts["unique_ids"], "offenders": [(r["id"], r["lacking"]) for r in bad]}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one of the driver only where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluicebox-")
+    return f"{base}/sluicebox-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 # Writers.
 
 
