@@ -15,7 +15,20 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 6 << 20
 
 
+#: Rows and bytes of an Arrow batch: whole texts vary in length, and two Python workers share an executor with the JVM.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to what whole texts need; lower ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -72,6 +85,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, functi
     function() is called once per task and returns the worker: (texts, their rows) -> {column: values}.
     A kept column with the name of a result gives way to it.
     """
+    small_batches(df.sparkSession)
     names = [x.split()[0] for x in schema.split(",")]
     keep = [c for c in keep if c not in names]
     kept = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias("__text"))
