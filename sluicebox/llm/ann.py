@@ -7,6 +7,8 @@ abandons the candidates whose distance, estimated from the t of D dimensions see
 (D / t) d_t^2 > (1 + EPS / sqrt(t))^2 d_k^2. For what survives all blocks the score is computed on the original vectors in
 double precision.
 
+Queries look into the nearest lists first; the k-th best score found there is what the others must reach.
+
 How many lists to look into is learned: on the sample, so many that the true neighbours of sampled queries are found with the
 recall asked for. The sample (at most `sample_rows` rows, by a hash of the id) fits centres and that number; all rows are indexed.
 
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
+from .common import durable
 
 BLOCK = 16
 EPS = 2.1
@@ -119,22 +122,36 @@ def nearest(df: DataFrame, query: str | None, k: int = 20, recall: float = 0.97,
         single = x.astype(np.float32)
         return pickle.dumps((ids, single if (single == x).all() else x, turned, prefix))
 
-    def send(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        s = np.where(known_ids[None] == ids[:, None], -np.inf, x @ known.T)
-        reach = np.partition(s, -k, 1)[:, -k] - 1e-9 if s.shape[1] >= k else np.full(len(x), -np.inf)
-        reach = np.maximum(reach, -1e30)
-        rank = np.argsort(np.argsort(-(x @ centres.T), 1, kind="stable"), 1)
-        for cell, numbers in pages.items():
-            near = np.flatnonzero(rank[:, cell] < probes)
-            if len(near):
-                content = pickle.dumps((ids[near], x[near], reach[near]))
-                for number in numbers:
-                    yield number, content
+    def send(low: int, high: int):  # noqa: ANN202
+        """Sends queries to the lists from the low-th nearest to the high-th."""
+
+        def to_pages(ids: np.ndarray, x: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, bytes]]:
+            s = np.where(known_ids[None] == ids[:, None], -np.inf, x @ known.T)
+            if s.shape[1] >= k:
+                reach = np.maximum(reach, np.partition(s, -k, 1)[:, -k])
+            reach = np.maximum(reach - 1e-9, -1e30)
+            rank = np.argsort(np.argsort(-(x @ centres.T), 1, kind="stable"), 1)
+            for cell, numbers in pages.items():
+                near = np.flatnonzero((rank[:, cell] >= low) & (rank[:, cell] < high))
+                if len(near):
+                    content = pickle.dumps((ids[near], x[near], reach[near]))
+                    for number in numbers:
+                        yield number, content
+
+        return to_pages
 
     def search(asked: bytes, content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         query_ids, q, reach = pickle.loads(asked)
         ids, o, turned, prefix = pickle.loads(content)
         return scan(query_ids, q, (q @ turn).astype(np.float32), ids, o.astype(float), turned, prefix, reach, k)[:3]
 
-    asked = cells.select("vec_id", "vec").filter(F.expr(query) if query else F.lit(True)).dropDuplicates(["vec_id"])
-    return vectors.answers(vectors.query_tasks(asked, length, send), vectors.packed_pages(cells, length, pages, build), search, k, "double")
+    asked = durable(cells.select("vec_id", "vec").filter(F.expr(query) if query else F.lit(True)).dropDuplicates(["vec_id"]))
+    lists = durable(vectors.packed_pages(cells, length, pages, build))
+    # The nearest lists first: their k-th best score bounds what the others need to give.
+    first = max(1, probes // 8)
+    near = vectors.query_tasks(asked.withColumn("reach", F.lit(float("-inf"))), length, send(0, first))
+    found = durable(vectors.answers(near, lists, search, k, "double"))
+    reach = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("reach"))
+    rest = vectors.query_tasks(asked.join(reach, "vec_id", "left").select("vec_id", "vec", F.coalesce("reach", F.lit(float("-inf"))).alias("reach")), length, send(first, probes))
+    more = vectors.answers(rest, lists, search, k, "double")
+    return vectors.best(found.unionByName(more).drop("rank"), k)

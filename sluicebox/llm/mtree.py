@@ -155,7 +155,7 @@ def top_k(df: DataFrame, query: str | None, k: int = 5, scale: float = 256.0, id
     def build(ids: np.ndarray, x: np.ndarray) -> bytes:
         return pickle.dumps(MTree(ids, to_integers(x, scale), longest))
 
-    def send(ids: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    def send(ids: np.ndarray, x: np.ndarray, _: np.ndarray) -> Iterator[tuple[int, bytes]]:
         x = to_integers(x, scale)
         s = x @ centres.T
         d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + longest - 2 * s, 0))
@@ -173,5 +173,5 @@ def top_k(df: DataFrame, query: str | None, k: int = 5, scale: float = 256.0, id
         query_id, found, score, _ = pickle.loads(content).search(ids, x, k, reach)
         return query_id, found, score.astype(np.int64)
 
-    asked = cells.select("vec_id", "vec").filter(F.expr(query) if query else F.lit(True)).dropDuplicates(["vec_id"])
+    asked = cells.select("vec_id", "vec").filter(F.expr(query) if query else F.lit(True)).dropDuplicates(["vec_id"]).withColumn("reach", F.lit(float("-inf")))
     return vectors.answers(vectors.query_tasks(asked, length, send), vectors.packed_pages(cells, length, pages, build), search, k, "long")

@@ -101,14 +101,17 @@ def packed_pages(cells: DataFrame, length: int, pages: dict[int, range], build:
     return dealt.mapInArrow(work, "page long, content binary")
 
 
-def query_tasks(queries: DataFrame, length: int, send: Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, bytes]]], block: int = BLOCK_QUERIES) -> DataFrame:
-    """page and the bytes of queries for it: send(ids, vectors) yields them for a block of queries."""
+def query_tasks(queries: DataFrame, length: int, send: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, bytes]]], block: int = BLOCK_QUERIES) -> DataFrame:
+    """page and the bytes of queries for it: send(ids, vectors, reach) yields them for a block of queries.
+
+    queries: vec_id, vec, reach (the k-th best score known so far).
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, block):
                 part = batch.slice(k, block)
-                for page, content in send(part.column("vec_id").to_numpy(), matrix(part.column("vec"), length)):
+                for page, content in send(part.column("vec_id").to_numpy(), matrix(part.column("vec"), length), part.column("reach").to_numpy()):
                     yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([content], pa.binary())], ["page", "asked"])
 
     # Full blocks: queries are gathered, a few thousand to a task.
@@ -127,7 +130,11 @@ def answers(tasks: DataFrame, pages: DataFrame, search: Callable[[bytes, bytes],
                 query, found, score = search(asked.as_py(), content.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(score, number)], ["query_id", "vec_id", "score"])
 
-    found = tasks.join(pages, "page").mapInArrow(work, f"query_id long, vec_id long, score {kind}")
+    return best(tasks.join(pages, "page").mapInArrow(work, f"query_id long, vec_id long, score {kind}"), k)
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of query_id, vec_id, score; each vec_id once."""
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
