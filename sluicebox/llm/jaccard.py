@@ -9,12 +9,14 @@ sequence counts as one n-gram). Two documents link when |A & B| / |A | B| is at
    (bucket count, hash), as many as a link must share one of) and a sketch (set elements per hash range).
    Documents with one digest and size are one class; from here on each class is one row, however many copies.
 3. Prefix n-grams are dealt out by hash and sorted. Classes that share one are candidates if they pass the length and the positional
-   filter. Groups of up to SMALL classes give all their candidates. A larger group gives a star around one of its members;
-   it is kept, and once links are verified, its members in different components are tried again, from other members,
-   until all candidates across components are few enough to be listed, and then are. So large groups of near copies
-   don't give all their pairs, and no link between two components is lost.
-4. The suffix filter compares sketches: the sum over ranges of the smaller count bounds the overlap.
-5. What is left is verified once per pair, on whole sets. Sets are computed anew for those documents only.
+   filter. Groups of up to SMALL classes list all their candidates. A larger group has a hub, the member that is in most of the larger
+   groups (the original of near copies is in all of theirs), and lists its candidates with the hub alone.
+4. The suffix filter compares sketches: the sum over hash ranges of the smaller count bounds the overlap. What is left is verified
+   once per pair, on whole sets; sets are computed anew for those documents only.
+5. Larger groups whose members are then all in one component are done: more links would change nothing. Of the others, those with few
+   candidates across components list them. The rest are taken together by hub, each member once with its sketch, and only
+   candidates across components that pass length and suffix filter come out. So no link between two components is lost, and large
+   groups of near copies, linked or just not, don't give all their pairs. The new candidates are verified as before.
 6. Components: each node takes its smallest neighbour, chains are shortened, edges contracted, until none is left.
 
 Defined cases: null and blank texts have size 0 and link with nothing; repeated rows are copies; ids are returned as they
@@ -36,9 +38,9 @@ from .common import durable, sums_by_chunk, text_slices
 WORDS = 5
 BUCKET_BITS = 18
 #: A group of up to so many classes lists all its pairs at once.
-SMALL = 32
-#: Rounds of stars before larger groups list all pairs between components.
-STARS = 5
+SMALL = 8
+#: A larger group lists its pairs across components if they are at most so many a member.
+LISTED = 4
 FILTER_BITS = 20
 
 _U = np.uint64
@@ -110,18 +112,33 @@ def prefix_size(n: np.ndarray | int, numerator: int, denominator: int) -> np.nda
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Elements per hash range, about eight to a range, 255 meaning 255 or more."""
-    bits = min(12, max(4, (len(elements) // 8).bit_length()))
+    """Elements per hash range, one or two to a range, 255 meaning 255 or more."""
+    bits = max(4, len(elements).bit_length() - 1)
     return np.minimum(np.bincount((elements >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def halved(counts: np.ndarray) -> np.ndarray:
+    """The sketch with half as many ranges; 255 stays 255 or more."""
+    return np.minimum(counts.reshape(*counts.shape[:-1], -1, 2).sum(-1, dtype=np.int64), 255).astype(np.uint8)
+
+
+def overlap_bounds(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """No fewer elements than a set shares with each of others, by sketches of one length."""
+    least = np.minimum(one, others)
+    bound = least.sum(1, dtype=np.int64)
+    # Two full ranges may share any number.
+    full = (least == 255).any(1)
+    return np.where(full, np.int64(1) << 40, bound)
+
+
 def overlap_bound(a: bytes, b: bytes) -> int:
     """No fewer elements than two sets share, by their sketches."""
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-    x[x == 255] = 1 << 40
-    y[y == 255] = 1 << 40
-    n = min(len(x), len(y))
-    return int(np.minimum(x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)).sum())
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = halved(x)
+    while len(y) > len(x):
+        y = halved(y)
+    return int(overlap_bounds(x, y[None])[0])
 
 
 class JaccardJoin:
@@ -190,97 +207,149 @@ class JaccardJoin:
 
         return classes.select("cls", "n", "prefix").mapInArrow(work, "token long, cls long, size long")
 
-    def candidates(self, groups: DataFrame, turn: int, last: bool) -> DataFrame:
-        """From token, cls, size, comp sorted by token: pairs, and the members of groups that aren't done.
-
-        Rows: token null for a pair (a, b with their sizes in size_a, size_b); else a member (a, size_a).
-        """
-        names = ["token", "a", "b", "size_a", "size_b"]
-
-        def batch_of(token, a, b, size_a, size_b) -> pa.RecordBatch:  # noqa: ANN001
-            fill = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x)
-            return pa.RecordBatch.from_arrays([fill(token), fill(a), fill(b), fill(size_a), fill(size_b)], names)
-
-        def pairs(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            """Filtered pairs of row numbers, the smaller class first: a, b, n of a, n of b."""
-            left, right = left[rows[3, left] != rows[3, right]], right[rows[3, left] != rows[3, right]]
-            a, b = rows[:, left], rows[:, right]
-            low = (1 << 24) - 1
-            ok = self.passes(a[2] >> 24, b[2] >> 24, a[2] & low, b[2] & low)
-            a, b = a[:, ok], b[:, ok]
-            swap = a[1] > b[1]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            return np.stack([a[1], b[1], a[2] >> 24, b[2] >> 24])
-
-        def group_all(rows: np.ndarray) -> Iterator[np.ndarray]:
-            """All pairs across components of one large group, in blocks."""
-            index = np.arange(rows.shape[1])
-            for k in range(len(index)):
-                yield pairs(rows, np.full(len(index) - k - 1, k), index[k + 1 :])
-
-        def handle(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """rows: token, cls, size, comp of whole groups."""
-            first = np.flatnonzero(np.diff(rows[0], prepend=rows[0, 0] - 1))
-            length = np.diff(np.append(first, rows.shape[1]))
-            out = []
-            small = length <= SMALL
-            keep = np.repeat(small & (length > 1), length)
-            few, group = rows[:, keep], np.repeat(np.arange(len(length)), length)[keep]
-            index = np.arange(few.shape[1])
-            for gap in range(1, int(length[small].max(initial=1))):
-                left = index[:-gap][group[:-gap] == group[gap:]]
-                if len(left):
-                    out.append(pairs(few, left, left + gap))
-            for begin, size in zip(first[~small].tolist(), length[~small].tolist(), strict=True):
-                own = rows[:, begin : begin + size]
-                _, members = np.unique(own[3], return_counts=True)
-                if len(members) == 1:
-                    continue
-                across = (size * size - int((members.astype(object) ** 2).sum())) // 2
-                if last or across <= SMALL * size:
-                    for found in group_all(own):
-                        out.append(found)
-                        if sum(x.shape[1] for x in out) > 200_000:
-                            yield flush(out)
-                            out = []
-                    continue
-                leader = int(mixed(own[0, :1].astype(np.uint64) + _U(turn))[0] % _U(size)) if turn else size // 2
-                index = np.delete(np.arange(size), leader)
-                out.append(pairs(own, np.full(size - 1, leader), index))
-                yield batch_of(own[0], own[1], None, own[2], None)
-            if out:
-                yield flush(out)
+    def _pairs(self, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Filtered pairs of columns of rows (token, cls, size), the smaller class first: a, b, n of a, n of b."""
+        a, b = rows[:, left], rows[:, right]
+        low = (1 << 24) - 1
+        ok = (a[1] != b[1]) & self.passes(a[2] >> 24, b[2] >> 24, a[2] & low, b[2] & low)
+        a, b = a[:, ok], b[:, ok]
+        swap = a[1] > b[1]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return np.stack([a[1], b[1], a[2] >> 24, b[2] >> 24])
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """From token, cls, size: pairs of small groups (token null; a, b, size_a, size_b), members of larger ones (token, a, size_a)."""
 
-        def flush(out: list[np.ndarray]) -> pa.RecordBatch:
-            found = np.concatenate(out, 1)
-            order = np.lexsort((found[1], found[0]))
-            found = found[:, order]
-            new = np.ones(found.shape[1], bool)
-            new[1:] = (np.diff(found[0]) != 0) | (np.diff(found[1]) != 0)
-            return batch_of(None, *found[:, new])
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _groups(batches, ("token", "cls", "size")):
+                length, group = _lengths(rows[0])
+                few = (length <= SMALL) & (length > 1)
+                out = []
+                some = rows[:, few[group]]
+                inside = group[few[group]]
+                for gap in range(1, SMALL):
+                    left = np.flatnonzero(inside[:-gap] == inside[gap:]) if len(inside) > gap else np.zeros(0, int)
+                    if len(left):
+                        out.append(self._pairs(some, left, left + gap))
+                if out:
+                    yield _pair_batch(out)
+                large = rows[:, (length > SMALL)[group]]
+                if large.shape[1]:
+                    yield _batch(large[0], large[1], None, large[2], None)
+
+        dealt = postings.repartition("token").sortWithinPartitions("token", "size", "cls")
+        return dealt.select("token", "cls", "size").mapInArrow(work, PAIRS)
+
+    def stars(self, members: DataFrame) -> DataFrame:
+        """From token, cls, size, fame of larger groups: token, hub, cls, size, and whether hub and cls are candidates (size_a, size_b)."""
+        low = (1 << 24) - 1
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: list[np.ndarray] = []
+            for rows in _groups(batches, ("token", "cls", "size")):
+                length, group = _lengths(rows[0])
+                first = (np.cumsum(length) - length)[group]
+                hub, n, place = rows[1, first], rows[2] >> 24, rows[2] & low
+                ok = (hub != rows[1]) & self.passes(n[first], n, place[first], place)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(hub), pa.array(n[first]), pa.array(rows[1]), pa.array(rows[2]), pa.array(ok)], ["token", "hub", "hub_n", "cls", "size", "ok"])
+
+        dealt = members.repartition("token").sortWithinPartitions("token", F.desc("fame"), F.xxhash64("cls"), "cls")
+        return dealt.select("token", "cls", "size").mapInArrow(work, "token long, hub long, hub_n long, cls long, size long, ok boolean")
+
+    def across(self, members: DataFrame) -> DataFrame:
+        """From token, hub, cls, size, comp: pairs across components (token null), or members of families (token: the hub; a, b: comp, size_a: n)."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _groups(batches, ("token", "cls", "size", "comp", "hub")):
+                length, _ = _lengths(rows[0])
+                out, families = [], []
+                for begin, size in zip((np.cumsum(length) - length).tolist(), length.tolist(), strict=True):
+                    own = rows[:, begin : begin + size]
+                    _, count = np.unique(own[3], return_counts=True)
+                    if len(count) == 1:
+                        continue
+                    if (size * size - int((count * count).sum())) // 2 <= LISTED * size:
+                        left, right = np.triu_indices(size, 1)
+                        other = own[3, left] != own[3, right]
+                        out.append(self._pairs(own, left[other], right[other]))
+                    else:
+                        families.append(own)
+                if out:
+                    yield _pair_batch(out)
+                if families:
+                    all_ = np.concatenate(families, 1)
+                    _, once = np.unique(all_[[4, 1]], axis=1, return_index=True)
+                    all_ = all_[:, once]
+                    yield _batch(all_[4], all_[1], all_[3], all_[2] >> 24, None)
+
+        dealt = members.repartition("token").sortWithinPartitions("token", "size", "cls")
+        return dealt.select("token", "cls", "size", "comp", "hub").mapInArrow(work, PAIRS)
+
+    def families(self, members: DataFrame) -> DataFrame:
+        """From hub, cls, n, comp, sketch: pairs across components of a hub's members that pass length and suffix filter."""
+        num, den = self.num, self.den
+
+        def pairs(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
+            """One family, sorted by n."""
+            width = np.array([len(x) for x in sketches])
+            places = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+            shrunk = {(w, w): np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), w) for w, at in places.items()}
+
+            def counts(w: int, to: int) -> np.ndarray:
+                """Sketches of one length, halved down to another."""
+                if (w, to) not in shrunk:
+                    shrunk[w, to] = halved(counts(w, 2 * to))
+                return shrunk[w, to]
+
+            out, found = [], 0
+            for i in range(len(cls) - 1):
+                one = np.frombuffer(sketches[i], np.uint8)
+                upto = int(np.searchsorted(num * n, den * n[i], "right"))
+                for w, at in places.items():
+                    a, b = np.searchsorted(at, i + 1), np.searchsorted(at, upto)
+                    if a >= b:
+                        continue
+                    least_width = min(w, len(one))
+                    same = one
+                    while len(same) > least_width:
+                        same = halved(same)
+                    bound = overlap_bounds(same, counts(w, least_width)[a:b])
+                    j = at[a:b]
+                    ok = ((num + den) * bound >= num * (n[i] + n[j])) & (comp[j] != comp[i])
+                    if ok.any():
+                        j = j[ok]
+                        least, most = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+                        swap = cls[i] > cls[j]
+                        out.append(np.stack([least, most, np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])]))
+                        found += len(j)
+                if found > 100_000:
+                    yield _pair_batch(out)
+                    out, found = [], 0
+            if out:
+                yield _pair_batch(out)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, kept = None, []
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cls", "size", "comp")])
-                if kept and kept[-1][0, -1] == rows[0, 0] == rows[0, -1]:
-                    kept.append(rows)
-                    continue
-                end = int(np.searchsorted(rows[0], rows[0, -1]))  # the last group may go on
-                if end:
-                    yield from handle(np.concatenate([*kept, rows[:, :end]], 1))
-                    kept = []
-                elif kept:
-                    yield from handle(np.concatenate(kept, 1))
-                    kept = []
-                kept.append(rows[:, end:])
+                hubs = batch.column("hub").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(np.diff(hubs)) + 1).tolist(), len(hubs)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if a == b:
+                        continue
+                    if kept and now != hubs[a]:
+                        yield from family(kept)
+                        kept = []
+                    now = hubs[a]
+                    kept.append(batch.slice(a, b - a))
             if kept:
-                yield from handle(np.concatenate(kept, 1))
+                yield from family(kept)
+
+        def family(kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(kept)
+            cls, n, comp = (rows.column(c).to_numpy() for c in ("cls", "n", "comp"))
+            yield from pairs(cls, n, comp, rows.column("sketch").to_pylist())
 
-        dealt = groups.repartition("token").sortWithinPartitions("token", "size", "cls")
-        return dealt.select("token", "cls", "size", "comp").mapInArrow(work, "token long, a long, b long, size_a long, size_b long")
+        dealt = members.repartition("hub").sortWithinPartitions("hub", "n", "cls")
+        return dealt.select("hub", "cls", "n", "comp", "sketch").mapInArrow(work, PAIRS)
 
     # Steps 4 and 5.
 
@@ -327,6 +396,10 @@ class JaccardJoin:
         own = lambda name: found.select(F.col("cls").alias(name), F.col("own").alias(f"own_{name}"))
         return durable(left.select("a", "b").join(own("a"), "a").join(own("b"), "b").mapInArrow(check, "a long, b long"))
 
+    @staticmethod
+    def _distinct(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+
     # All steps.
 
     def components(self, docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
@@ -334,24 +407,29 @@ class JaccardJoin:
         texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
         signed = durable(self.signatures(texts, self.frequencies(texts)).withColumn("cls", F.xxhash64("digest", "n")))
         classes = durable(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
-        groups = self.postings(classes).withColumn("comp", F.col("cls"))
-        edges, tried, label = None, None, None
-        for turn in range(STARS + 1):
-            last = turn == STARS
-            got = durable(self.candidates(groups, turn, last))
-            pairs = got.filter("token is null").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = durable(pairs)
-            tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-            links = self.verified(pairs, classes, texts)
-            edges = links if edges is None else edges.unionByName(links)
-            label = connected(edges)
-            open_ = got.filter("token is not null")
-            if last or open_.isEmpty():
-                break
-            groups = open_.select("token", F.col("a").alias("cls"), F.col("size_a").alias("size")).join(label.withColumnsRenamed({"id": "cls"}), "cls", "left")
-            groups = groups.select("token", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
+        got = durable(self.candidates(self.postings(classes)))
+        pairs = got.filter("token is null").select("a", "b", "size_a", "size_b")
+        large = got.filter("token is not null").select("token", F.col("a").alias("cls"), F.col("size_a").alias("size"))
+        grouped = not large.isEmpty()
+        if grouped:
+            fame = large.groupBy("cls").agg(F.count(F.lit(1)).alias("fame"))
+            starred = durable(self.stars(large.join(fame, "cls")))
+            hub, other, n = F.col("hub"), F.col("cls"), F.shiftright("size", 24)
+            star = starred.filter("ok").select(F.least(hub, other).alias("a"), F.greatest(hub, other).alias("b"), F.when(hub < other, F.col("hub_n")).otherwise(n).alias("size_a"), F.when(hub < other, n).otherwise(F.col("hub_n")).alias("size_b"))
+            pairs = pairs.unionByName(star)
+        pairs = durable(self._distinct(pairs))
+        links = self.verified(pairs, classes, texts)
+        label = connected(links)
+        if grouped:
+            members = starred.join(label.withColumnsRenamed({"id": "cls"}), "cls", "left").select("token", "hub", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
+            more = durable(self.across(members))
+            family = more.filter("token is not null").groupBy(F.col("token").alias("hub"), F.col("a").alias("cls")).agg(F.first("size_a").alias("n"), F.first("b").alias("comp"))
+            family = family.join(classes.select("cls", "sketch"), "cls")
+            new = self._distinct(more.filter("token is null").unionByName(self.families(family)))
+            new = durable(new.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+            if not new.isEmpty():
+                links = links.unionByName(self.verified(new, classes, texts))
+                label = connected(links)
         # The component's name: its smallest doc_id.
         named = durable(classes.select("cls", "doc_id").join(label.withColumnsRenamed({"id": "cls"}), "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp")))
         smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -361,6 +439,48 @@ class JaccardJoin:
         return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+PAIRS = "token long, a long, b long, size_a long, size_b long"
+
+
+def _batch(token, a, b, size_a, size_b) -> pa.RecordBatch:  # noqa: ANN001
+    fill = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x)
+    return pa.RecordBatch.from_arrays([fill(x) for x in (token, a, b, size_a, size_b)], ["token", "a", "b", "size_a", "size_b"])
+
+
+def _pair_batch(out: list[np.ndarray]) -> pa.RecordBatch:
+    """Pairs (a, b, n of a, n of b), each once."""
+    found = np.concatenate(out, 1)
+    found = found[:, np.lexsort((found[1], found[0]))]
+    new = np.ones(found.shape[1], bool)
+    new[1:] = (np.diff(found[0]) != 0) | (np.diff(found[1]) != 0)
+    return _batch(None, *found[:, new])
+
+
+def _lengths(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(size of each group of equal neighbours, group of each row)."""
+    first = np.flatnonzero(np.concatenate([[True], np.diff(tokens) != 0]))
+    length = np.diff(np.append(first, len(tokens)))
+    return length, np.repeat(np.arange(len(length)), length)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[np.ndarray]:
+    """Columns as rows of an array, cut so that no group of equal first values is divided."""
+    kept: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+        end = int(np.flatnonzero(rows[0] == rows[0, -1])[0])  # the last group may go on
+        if kept and (end or kept[-1][0, -1] != rows[0, 0]):
+            yield np.concatenate([*kept, rows[:, :end]], 1)
+            kept = []
+        elif end:
+            yield rows[:, :end]
+        kept.append(rows[:, end:])
+    if kept:
+        yield np.concatenate(kept, 1)
+
+
 def class_id(digest: int, n: int) -> int:
     """What xxhash64(digest, n) of two longs gives in SQL."""
     return _xx_long(n, _xx_long(digest, 42))
@@ -379,6 +499,12 @@ def _xx_long(value: int, seed: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _jumped(parent: DataFrame) -> DataFrame:
+    """Each node's parent's parent, and whether that is another."""
+    upper = parent.select(F.col("id").alias("up"), F.col("up").alias("next"))
+    return parent.join(upper, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.coalesce("next", "up") != F.col("up")).alias("moved"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """id and comp (the smallest id of its component) of each node of undirected edges a, b."""
     edges = durable(edges.select("a", "b").filter("a <> b").distinct())
@@ -387,8 +513,8 @@ def connected(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
         while True:
-            upper = parent.select(F.col("id").alias("up"), F.col("up").alias("next"))
-            jumped = durable(parent.join(upper, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.coalesce("next", "up") != F.col("up")).alias("moved")))
+            twice = _jumped(parent)
+            jumped = durable(_jumped(twice.select("id", "up")))
             parent = jumped.select("id", "up")
             if jumped.filter("moved").isEmpty():
                 break

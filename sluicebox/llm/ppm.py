@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -96,6 +97,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: st
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if use is None else F.coalesce(use, F.lit(False))))
     sample = sampled(rows.select(F.col(key).alias("__key"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang")), "__key", "__lang", per_language)
     counts = sample.select("__text", "__lang").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    return model_of(counts, max_contexts)
+
+
+def model_of(counts: pd.DataFrame, max_contexts: int) -> Model:
+    """The trees of counts of (lang, gram: three bytes of context and the byte, n)."""
     languages = sorted(counts["lang"].unique())
     if not languages:
         return Model([], np.zeros(1, np.int64), np.zeros((0, 256), np.float32))
