@@ -101,7 +101,7 @@ class MTree:
         active = np.arange(n)
         while len(active):
             node = bound[active].argmin(1)
-            go = bound[active, node] <= reach[active] + SLACK
+            go = np.isfinite(bound[active, node]) & (bound[active, node] <= reach[active] + SLACK)
             active, node = active[go], node[go]
             for number in np.unique(node).tolist():
                 q = active[node == number]
