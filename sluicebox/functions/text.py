@@ -138,8 +138,20 @@ def template_complete(text: Column, sections: list[str]) -> Column:
     return out
 
 
-def cut_at_first(text: Column, markers: list[str]) -> Column:
-    """The text before the first of the markers; stripped on the right, one line end added."""
+#: What ends a benchmark completion.
+STOPS = ("\n```", "<|im_end|>", "<|endoftext|>", "</s>")
+
+
+def cut_at_first(text: Column, markers: tuple[str, ...] = STOPS) -> Column:
+    """The text before the first of the markers."""
     places = [F.when(F.instr(text, m) > 0, F.instr(text, m)) for m in markers]
     first = F.coalesce(F.least(*places) if len(places) > 1 else places[0], F.length(text) + 1)
-    return F.concat(F.regexp_replace(F.substring(text, F.lit(1), first - 1), r"\s+$", ""), F.lit("\n"))
+    return F.substring(text, F.lit(1), first - 1)
+
+
+def first_solution(text: Column) -> Column:
+    """The first code of a benchmark completion: line ends and tabs made plain, an opening fence off, cut where it ends; '' for none."""
+    plain = strip(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\t"), F.lit("    ")))
+    body = F.regexp_replace(plain, r"^```(?:python)?\n*", "")
+    cut = cut_at_first(body)
+    return F.when(strip(cut) == "", F.lit("")).otherwise(F.concat(F.regexp_replace(cut, r"\s+$", ""), F.lit("\n")))

@@ -117,9 +117,14 @@ def template_complete(spark, sf_dir):
     return fx.completions(spark, sf_dir).select("doc_id", t.template_complete(F.col("text"), ["## Plan", "O(n"]).alias("complete"))
 
 
-@query("evalplus_extract", rf"""with {fx.COMPLETIONS} select doc_id, md5(regexp_replace(substr(text, 1, coalesce(least(nullif(instr(text, chr(10) || '```'), 0), nullif(instr(text, chr(10) || 'print('), 0)), length(text) + 1)::integer - 1), '\s+$', '') || chr(10)) as code_md5 from completions""")
+_PLAIN = r"regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(9), '    '), '^\s+|\s+$', '', 'g'), '^```(?:python)?\n*', '')"
+
+
+@query("evalplus_extract", rf"""with {fx.COMPLETIONS}, p as (select doc_id, {_PLAIN} as v from completions),
+  c as (select doc_id, substr(v, 1, coalesce(least(nullif(instr(v, chr(10) || '```'), 0), nullif(instr(v, '<|im_end|>'), 0), nullif(instr(v, '<|endoftext|>'), 0), nullif(instr(v, '</s>'), 0)), length(v) + 1)::integer - 1) as v from p)
+  select doc_id, md5(case when regexp_replace(v, '^\s+|\s+$', '', 'g') = '' then '' else regexp_replace(v, '\s+$', '') || chr(10) end) as code_md5 from c""")
 def evalplus_extract(spark, sf_dir):
-    return fx.completions(spark, sf_dir).select("doc_id", F.md5(t.cut_at_first(F.col("text"), ["\n```", "\nprint("])).alias("code_md5"))
+    return fx.completions(spark, sf_dir).select("doc_id", F.md5(t.first_solution(F.col("text"))).alias("code_md5"))
 
 
 @query("parse_json_default", "select event_id, coalesce((try_cast(props as json)->>'k')::bigint, -1) as k from events")
