@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     chosen = marked.filter(F.pmod(F.xxhash64("__key", F.lit(29)), F.lit(1 << 30)) < share)
     rows = docs.select(F.col(key).alias("__key"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__key")
     got = text_features(rows, "__text", ["__key", "__label"]).orderBy("__key").toPandas()
-    return train(np.array(got["features"].tolist()).reshape(len(got), -1), got["__label"].to_numpy(float))
+    return train(np.array(got["features"].tolist(), float).reshape(len(got), len(FEATURES)), got["__label"].to_numpy(float))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
