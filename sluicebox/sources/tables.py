@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
@@ -163,3 +164,24 @@ def id_file(ids: DataFrame, seed: int, parent: str) -> DataFrame:
     """One row per split: the JSON text of its id file, ids in order. Columns split, ord, id."""
     rows = ids.groupBy("split").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("id").cast("string").alias("id")))), lambda x: x["id"]).alias("ids"))
     return rows.select("split", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(seed).alias("seed"), F.lit(parent).alias("parent"), F.size("ids").alias("count"), "ids")).alias("value"))
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """sha256 over the digests of files, in the order given."""
+    digests = []
+    for path in paths:
+        found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
+        if found is None:
+            raise FileNotFoundError(path)
+        digests.append(found[0])
+    return hashlib.sha256("".join(digests).encode()).hexdigest()
+
+
+def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
+    """A report of an aggregated table; an error if it has more rows than a report should."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    lines = [f"| {' | '.join(cell(x) for x in line)} |" for line in (rows.columns, *got)]
+    return "\n".join([f"# {title}", "", lines[0], "|" + "-|" * len(rows.columns), *lines[1:], ""])

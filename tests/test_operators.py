@@ -169,3 +169,24 @@ def test_resume_does_nothing_twice(spark, tmp_path):
         frame(spark, rows, "k long, v string").write.mode("append").json(source)
         resume.resume(spark, source, "k long, v string", target, str(tmp_path / "c"), "k", step).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [(1, "a"), (2, "b"), (3, "d")]
+
+
+def test_containers_are_pinned_and_bounded():
+    with pytest.raises(ValueError, match="pinned"):
+        verify.container("python:3.11")
+    line = verify.container("python@sha256:" + "a" * 64)("/tmp/x")
+    assert {"--network=none", "--read-only", "--cap-drop=ALL", "--volume=/tmp/x:/job:ro"} <= set(line)
+
+
+def test_killed_programs_count_as_timed_out():
+    killed = lambda folder: ["python3", "-c", "raise SystemExit(137)"]  # noqa: E731, ARG005
+    assert verify.verify_code("x", [{"input": "", "output": ""}], command=killed).error.startswith("timeout")
+
+
+def test_reports_and_fingerprints(spark, tmp_path):
+    text = tables.markdown(frame(spark, [("a|b", 1), (None, 2)], "k string, n long"), "T")
+    assert text.splitlines() == ["# T", "", "| k | n |", "|-|-|", "| a\\|b | 1 |", "|  | 2 |"]
+    with pytest.raises(ValueError, match="report"):
+        tables.markdown(spark.range(5), "T", 3)
+    (tmp_path / "f").write_bytes(b"x")
+    assert tables.fingerprint(spark, [str(tmp_path / "f")]) == hashlib.sha256(hashlib.sha256(b"x").hexdigest().encode()).hexdigest()
