@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.llm import gam, jaccard, packing, pii, ppm
-from sluicebox.llm.common import crc_mod, durable, table
+from sluicebox.llm.common import crc_mod, kept_table, remove, table
 
 ORACLE_SQL = None  # learned models, tokenization and packing can't be said in SQL
 
@@ -62,7 +62,10 @@ STAGES = [("quality", quality), ("language", language), ("duplicates", duplicate
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        docs, path = kept_table(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)  # nothing reads it any more
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

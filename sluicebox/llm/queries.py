@@ -64,5 +64,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: All pairs of queries and rows.
+TOP_K_SQL = """with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+  p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score from p
+  qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5"""
+
+#: All pairs that share an n-gram, then everything reachable.
+JACCARD_SQL = r"""with recursive w as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+  g as (select doc_id, case when len(words) = 0 then []::varchar[] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) end as grams from w),
+  s as (select doc_id, unnest(grams) as gram from g),
+  j as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+  l as (select x, y from j join g a on a.doc_id = x join g b on b.doc_id = y where 100 * shared >= 80 * (len(a.grams) + len(b.grams) - shared)),
+  e as (select x, y from l union all select y, x from l),
+  r(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.y from r join e on r.other = e.x)
+  select doc_id, len(grams) as n_shingles, component_id from g join (select doc_id, min(other) as component_id from r group by doc_id) using (doc_id)"""
+
+#: Digests of the turns themselves, and the length of the template with its escapes.
+CHAT_SQL = r"""with c as (select conv_id, turn, role, text from conversations
+    union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+  t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as body from c),
+  f as (select *, length(regexp_replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g')) + 5 + length(regexp_replace(body, '<(\\*)\|', '<\1\\|', 'g')) + 8 as n from t),
+  a as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' order by turn, role, body)) as turns_sha256,
+    coalesce(string_agg(body, '' order by turn, role, body) filter (role = 'assistant'), '') as loss, sum(n)::bigint as formatted_chars from f group by conv_id)
+  select conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn models, tokenize or search by chance: SQL can't say them; tests hold them against brute force."""
+    return {"op1_exact_top_k": TOP_K_SQL, "op5_ngram_jaccard": JACCARD_SQL, "op10_chat_formatting": CHAT_SQL}

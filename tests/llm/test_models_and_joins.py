@@ -10,6 +10,7 @@ import pytest
 
 from sluicebox.llm import ann, gam, jaccard, mtree, ppm
 from sluicebox.llm import queries as q
+from sluicebox.llm.common import durable
 
 
 def brute_components(docs: list[tuple[int | None, str | None]], words: int = 5, num: int = 80, den: int = 100) -> dict:
@@ -255,7 +256,7 @@ def test_pipeline_stages(spark, data):
     columns = docs.columns
     sizes = [docs.count()]
     for name, stage in p.STAGES[:-1]:
-        docs = p.durable(stage(spark, docs, data))
+        docs = durable(stage(spark, docs, data))
         assert docs.columns == columns, name
         sizes.append(docs.count())
     assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] == sizes[4] > 0
@@ -264,6 +265,25 @@ def test_pipeline_stages(spark, data):
     assert rows.groupby("sequence_id")["length"].sum().max() <= 1024
 
 
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_same_as_sql(name, spark, data, duck):
+    got, want = q.queries()[name](spark, data), duck.sql(q.oracle_sql()[name])
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    rows = lambda columns, found: sorted(tuple(r[columns.index(c)] for c in order) for r in found)
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+def test_pipeline_is_its_stages(spark, data):
+    import corpus_pipeline as p
+
+    docs = q.table(spark, data, "documents")
+    for _, stage in p.STAGES:
+        docs = durable(stage(spark, docs, data))
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, p.run(spark, data).select(*key).collect())) == sorted(map(tuple, docs.select(*key).collect()))
+
+
 def test_pipeline_of_an_empty_table(spark, data, tmp_path):
     import corpus_pipeline as p
 
@@ -277,6 +297,6 @@ def test_stages_keep_odd_columns(spark, data):
 
     docs = q.table(spark, data, "documents").selectExpr("*", "doc_id as score", "lang as lang_pred", "'m' as masked", "text as `__text`")
     for _, stage in p.STAGES[:-1]:
-        docs = p.durable(stage(spark, docs, data))
+        docs = durable(stage(spark, docs, data))
     assert docs.columns[-4:] == ["score", "lang_pred", "masked", "__text"]
     assert docs.count() > 0
