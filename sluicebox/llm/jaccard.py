@@ -13,10 +13,10 @@ sequence counts as one n-gram). Two documents link when |A & B| / |A | B| is at
    groups (the original of near copies is in all of theirs), and lists its candidates with the hub alone.
 4. The suffix filter compares sketches: the sum over hash ranges of the smaller count bounds the overlap. What is left is verified
    once per pair, on whole sets; sets are computed anew for those documents only.
-5. Larger groups whose members are then all in one component are done: more links would change nothing. Of the others, those with few
-   candidates across components list them. The rest are taken together by hub, each member once with its sketch, and only
-   candidates across components that pass length and suffix filter come out. So no link between two components is lost, and large
-   groups of near copies, linked or just not, don't give all their pairs. The new candidates are verified as before.
+5. Larger groups whose members are then all in one component are done: more links would change nothing. The members of the others
+   are taken together by hub, each once with its sketch, in pairs of blocks of bounded size, and only candidates across
+   components that pass length and suffix filter come out. So no link between two components is lost, and large groups of near
+   copies, linked or just not, don't give all their pairs. The new candidates are verified as before.
 6. Components: each node takes its smallest neighbour, chains are shortened, edges contracted, until none is left.
 
 Defined cases: null and blank texts have size 0 and link with nothing; repeated rows are copies; ids are returned as they
@@ -39,8 +39,8 @@ WORDS = 5
 BUCKET_BITS = 18
 #: A group of up to so many classes lists all its pairs at once.
 SMALL = 8
-#: A larger group lists its pairs across components if they are at most so many a member.
-LISTED = 4
+#: So many members of a larger group are compared in one task.
+FAMILY = 4096
 FILTER_BITS = 20
 
 _U = np.uint64
@@ -241,55 +241,40 @@ class JaccardJoin:
         return dealt.select("token", "cls", "size").mapInArrow(work, PAIRS)
 
     def stars(self, members: DataFrame) -> DataFrame:
-        """From token, cls, size, fame of larger groups: token, hub, cls, size, and whether hub and cls are candidates (size_a, size_b)."""
-        low = (1 << 24) - 1
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _groups(batches, ("token", "cls", "size")):
-                length, group = _lengths(rows[0])
-                first = (np.cumsum(length) - length)[group]
-                hub, n, place = rows[1, first], rows[2] >> 24, rows[2] & low
-                ok = (hub != rows[1]) & self.passes(n[first], n, place[first], place)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(hub), pa.array(n[first]), pa.array(rows[1]), pa.array(rows[2]), pa.array(ok)], ["token", "hub", "hub_n", "cls", "size", "ok"])
-
-        dealt = members.repartition("token").sortWithinPartitions("token", F.desc("fame"), F.xxhash64("cls"), "cls")
-        return dealt.select("token", "cls", "size").mapInArrow(work, "token long, hub long, hub_n long, cls long, size long, ok boolean")
-
-    def across(self, members: DataFrame) -> DataFrame:
-        """From token, hub, cls, size, comp: pairs across components (token null), or members of families (token: the hub; a, b: comp, size_a: n)."""
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _groups(batches, ("token", "cls", "size", "comp", "hub")):
-                length, _ = _lengths(rows[0])
-                out, families = [], []
-                for begin, size in zip((np.cumsum(length) - length).tolist(), length.tolist(), strict=True):
-                    own = rows[:, begin : begin + size]
-                    _, count = np.unique(own[3], return_counts=True)
-                    if len(count) == 1:
-                        continue
-                    if (size * size - int((count * count).sum())) // 2 <= LISTED * size:
-                        left, right = np.triu_indices(size, 1)
-                        other = own[3, left] != own[3, right]
-                        out.append(self._pairs(own, left[other], right[other]))
-                    else:
-                        families.append(own)
-                if out:
-                    yield _pair_batch(out)
-                if families:
-                    all_ = np.concatenate(families, 1)
-                    _, once = np.unique(all_[[4, 1]], axis=1, return_index=True)
-                    all_ = all_[:, once]
-                    yield _batch(all_[4], all_[1], all_[3], all_[2] >> 24, None)
-
-        dealt = members.repartition("token").sortWithinPartitions("token", "size", "cls")
-        return dealt.select("token", "cls", "size", "comp", "hub").mapInArrow(work, PAIRS)
+        """From token, cls, size of larger groups: token, hub, hub_size, cls, size, and whether hub and cls are candidates (ok).
+
+        The hub comes from an aggregate that combines before it shuffles; joining it back is a join that can be split.
+        """
+        fame = members.groupBy("cls").agg(F.count(F.lit(1)).alias("fame"))
+        first = F.min_by(F.struct("cls", "size"), F.struct((-F.col("fame")).alias("fame"), F.xxhash64("cls").alias("hash"), "cls"))
+        hubs = durable(members.join(fame, "cls").groupBy("token").agg(first.alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.size").alias("hub_size")))
+        n, m = F.shiftright("size", 24), F.shiftright("hub_size", 24)
+        place, hub_place = F.col("size").bitwiseAND(F.lit((1 << 24) - 1)), F.col("hub_size").bitwiseAND(F.lit((1 << 24) - 1))
+        most = F.least(place, hub_place) + F.least(n - place, m - hub_place)
+        ok = (F.col("hub") != F.col("cls")) & (self.den * F.least(n, m) >= self.num * F.greatest(n, m)) & ((self.num + self.den) * most >= self.num * (n + m))
+        return durable(members.join(hubs, "token").withColumn("ok", ok))
+
+    def by_hub(self, members: DataFrame, classes: DataFrame) -> DataFrame:
+        """Families (hub, low, high, block, cls, n, comp, sketch) of the groups (token, hub, cls, size, comp) that span components.
+
+        A family of more than FAMILY members is dealt over blocks: a task compares one pair of blocks.
+        """
+        spans = durable(members.groupBy("token", "comp").agg(F.first("hub").alias("hub")).groupBy("token").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token"))
+        rows = members.join(spans, "token", "left_semi").groupBy("hub", "cls").agg(F.first("size").alias("size"), F.first("comp").alias("comp"))
+        rows = durable(rows.select("hub", "cls", F.shiftright("size", 24).alias("n"), "comp"))
+        sizes = rows.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("blocks"))
+        block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+        dealt = rows.join(sizes, "hub").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "n", "comp")
+        return dealt.join(classes.select("cls", "sketch"), "cls")
 
     def families(self, members: DataFrame) -> DataFrame:
-        """From hub, cls, n, comp, sketch: pairs across components of a hub's members that pass length and suffix filter."""
+        """From `by_hub`: pairs across components of a hub's members that pass length and suffix filter."""
         num, den = self.num, self.den
 
-        def pairs(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
-            """One family, sorted by n."""
+        def pairs(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
+            """One pair of blocks of a family, sorted by n; two blocks are compared with each other only."""
+            two = len(np.unique(block)) > 1
             width = np.array([len(x) for x in sketches])
             places = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
             shrunk = {(w, w): np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), w) for w, at in places.items()}
@@ -315,6 +300,8 @@ class JaccardJoin:
                     bound = overlap_bounds(same, counts(w, least_width)[a:b])
                     j = at[a:b]
                     ok = ((num + den) * bound >= num * (n[i] + n[j])) & (comp[j] != comp[i])
+                    if two:
+                        ok &= block[j] != block[i]
                     if ok.any():
                         j = j[ok]
                         least, most = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
@@ -330,26 +317,27 @@ class JaccardJoin:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, kept = None, []
             for batch in batches:
-                hubs = batch.column("hub").to_numpy(zero_copy_only=False)
-                cuts = [0, *(np.flatnonzero(np.diff(hubs)) + 1).tolist(), len(hubs)]
+                keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "low", "high")])
+                cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), keys.shape[1]]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     if a == b:
                         continue
-                    if kept and now != hubs[a]:
+                    if kept and now != keys[:, a].tolist():
                         yield from family(kept)
                         kept = []
-                    now = hubs[a]
+                    now = keys[:, a].tolist()
                     kept.append(batch.slice(a, b - a))
             if kept:
                 yield from family(kept)
 
         def family(kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(kept)
-            cls, n, comp = (rows.column(c).to_numpy() for c in ("cls", "n", "comp"))
-            yield from pairs(cls, n, comp, rows.column("sketch").to_pylist())
+            if rows.column("low")[0] != rows.column("high")[0] and len(rows.column("block").unique()) == 1:
+                return  # the other block is empty
+            yield from pairs(*(rows.column(c).to_numpy() for c in ("cls", "n", "comp", "block")), rows.column("sketch").to_pylist())
 
-        dealt = members.repartition("hub").sortWithinPartitions("hub", "n", "cls")
-        return dealt.select("hub", "cls", "n", "comp", "sketch").mapInArrow(work, PAIRS)
+        dealt = members.repartition("hub", "low", "high").sortWithinPartitions("hub", "low", "high", "n", "cls")
+        return dealt.select("hub", "low", "high", "block", "cls", "n", "comp", "sketch").mapInArrow(work, PAIRS)
 
     # Steps 4 and 5.
 
@@ -412,20 +400,16 @@ class JaccardJoin:
         large = got.filter("token is not null").select("token", F.col("a").alias("cls"), F.col("size_a").alias("size"))
         grouped = not large.isEmpty()
         if grouped:
-            fame = large.groupBy("cls").agg(F.count(F.lit(1)).alias("fame"))
-            starred = durable(self.stars(large.join(fame, "cls")))
-            hub, other, n = F.col("hub"), F.col("cls"), F.shiftright("size", 24)
-            star = starred.filter("ok").select(F.least(hub, other).alias("a"), F.greatest(hub, other).alias("b"), F.when(hub < other, F.col("hub_n")).otherwise(n).alias("size_a"), F.when(hub < other, n).otherwise(F.col("hub_n")).alias("size_b"))
+            starred = self.stars(large)
+            hub, other, n, m = F.col("hub"), F.col("cls"), F.shiftright("size", 24), F.shiftright("hub_size", 24)
+            star = starred.filter("ok").select(F.least(hub, other).alias("a"), F.greatest(hub, other).alias("b"), F.when(hub < other, m).otherwise(n).alias("size_a"), F.when(hub < other, n).otherwise(m).alias("size_b"))
             pairs = pairs.unionByName(star)
         pairs = durable(self._distinct(pairs))
         links = self.verified(pairs, classes, texts)
         label = connected(links)
         if grouped:
             members = starred.join(label.withColumnsRenamed({"id": "cls"}), "cls", "left").select("token", "hub", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
-            more = durable(self.across(members))
-            family = more.filter("token is not null").groupBy(F.col("token").alias("hub"), F.col("a").alias("cls")).agg(F.first("size_a").alias("n"), F.first("b").alias("comp"))
-            family = family.join(classes.select("cls", "sketch"), "cls")
-            new = self._distinct(more.filter("token is null").unionByName(self.families(family)))
+            new = self._distinct(self.families(self.by_hub(members, classes)))
             new = durable(new.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
             if not new.isEmpty():
                 links = links.unionByName(self.verified(new, classes, texts))

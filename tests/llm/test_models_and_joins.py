@@ -64,7 +64,7 @@ def test_components_are_those_of_all_pairs(spark, seed, families, members, lengt
 def test_small_groups_and_stars_agree(spark, monkeypatch):
     docs = near_copies(7, 6, 20, 50, 4)
     monkeypatch.setattr(jaccard, "SMALL", 2)
-    monkeypatch.setattr(jaccard, "LISTED", 0)
+    monkeypatch.setattr(jaccard, "FAMILY", 5)
     got = jaccard.JaccardJoin().components(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(docs)
 
