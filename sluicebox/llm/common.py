@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a step holds in work arrays at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 #: Rows and bytes of an Arrow batch: whole texts vary in length, and two Python workers share an executor with the JVM.
@@ -85,6 +85,8 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         size += len(text)
     if begin < len(texts):
         yield batch.slice(begin), texts[begin:]
+    # Workers outlive their tasks; what Arrow has freed goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, function: Callable[[], Callable[[list[str], pa.RecordBatch], dict]]) -> DataFrame:

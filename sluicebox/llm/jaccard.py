@@ -71,6 +71,11 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _forget_powers() -> None:
+    """At a task's end: workers outlive their tasks."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all n-grams of all texts, how many each text has); repeats within a text are kept."""
     data = np.frombuffer(" ".join(texts).encode() + b" ", np.uint8)
@@ -165,6 +170,7 @@ class JaccardJoin:
                 for _, part in text_slices(batch, "__text"):
                     hashes, _ = shingles(part, words)
                     out += np.bincount((hashes >> _U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(out))
+            _forget_powers()
             return out
 
         return sums_by_chunk(texts.select("__text"), count, 1 << BUCKET_BITS)
@@ -187,6 +193,7 @@ class JaccardJoin:
                         prefixes.append(own[order].tobytes())
                         sketches.append(sketch(own))
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "digest", "prefix", "sketch"])
+            _forget_powers()
 
         return texts.select("doc_id", "__text").mapInArrow(work, "doc_id long, n long, digest long, prefix binary, sketch binary")
 
@@ -368,6 +375,7 @@ class JaccardJoin:
                     found = sets(part, words)
                     digest = [int((mixed(own ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)).astype(np.int64)) for own in found]
                     yield pa.RecordBatch.from_arrays([pa.array([class_id(d, len(own)) for d, own in zip(digest, found, strict=True)], pa.int64()), pa.array([own.tobytes() for own in found], pa.binary())], ["cls", "own"])
+            _forget_powers()
 
         found = texts.select("__text", bit("doc_id").alias("bit")).mapInArrow(whole, "cls long, own binary")
         found = durable(found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]))
