@@ -2,6 +2,7 @@
 
 Each feature of a text (see FEATURES) falls into one of some bins, and has a table with a value for each bin; some pairs of features
 have a table too. The score is the logistic of the sum of the table entries: vectorised bin additions.
+Every feature means the same for texts of any length; top_pair is the share of the most frequent pair of neighbouring words.
 
 The tables are learned by boosting that goes round the features in turn: on each visit a tree of at most three leaves,
 fitted to the gradients' histogram of that feature alone, is added to its table with a small rate. Then the pairs with the
@@ -75,7 +76,7 @@ def features(texts: list[str]) -> np.ndarray:
             words = texts[i].split()
             n = max(len(words), 1)
             tally = Counter(words)
-            pairs = Counter(map(hash, zip(words[::1], words[1:], strict=False))) if len(words) < 400 else None
+            pairs = Counter(map(hash, zip(words, words[1:], strict=False)))
             lines = texts[i].split("\n")
             out[i, 6] = lengths[i] / n
             out[i, 7] = len(tally) / n
@@ -83,7 +84,7 @@ def features(texts: list[str]) -> np.ndarray:
             out[i, 9] = sum(map(eq, words, words[1:])) / n
             out[i, 13] = len(set(lines)) / len(lines)
             out[i, 17] = k / n
-            out[i, 18] = max(pairs.values(), default=0) / n if pairs is not None else out[i, 9]
+            out[i, 18] = max(pairs.values(), default=0) / n
     return out
 
 

@@ -249,6 +249,15 @@ def test_classifier_of_odd_texts(spark):
     assert gam.features([]).shape == (0, len(gam.FEATURES))
 
 
+def test_word_pairs_count_in_texts_of_any_length():
+    column = gam.FEATURES.index("top_pair")
+    texts = [" ".join(["buy", "now"] * n) for n in (100, 199, 200, 2000)] + ["a b " * 300 + " ".join(map(str, range(600)))]
+    for text, value in zip(texts, gam.features(texts)[:, column], strict=True):
+        words = text.split()
+        pairs = list(zip(words, words[1:], strict=False))
+        assert value == max(map(pairs.count, set(pairs))) / len(words)
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as p
 
