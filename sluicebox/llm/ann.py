@@ -7,7 +7,10 @@ abandons the candidates whose distance, estimated from the t of D dimensions see
 (D / t) d_t^2 > (1 + EPS / sqrt(t))^2 d_k^2. For what survives all blocks the score is computed on the original vectors in
 double precision.
 
-Queries look into the nearest lists first; the k-th best score found there is what the others must reach.
+The exact k best of up to KNOWN sampled rows are candidates of every query, and the k-th of them is the first bound, so a bound
+never stands for rows that are not answers. Queries look into the nearest lists first; the k-th best score found so far is what the
+others must reach. If the sample can't fill the answers, queries short of k rows look into all lists: an answer has
+fewer than k rows only if there are fewer candidates.
 
 How many lists to look into is learned: on the sample, so many that the true neighbours of sampled queries are found with the
 recall asked for. The sample (at most `sample_rows` rows, by a hash of the id) fits centres and that number; all rows are indexed.
@@ -21,6 +24,7 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,7 @@ BLOCK = 16
 EPS = 2.1
 SAMPLE_ROWS = 8192
 MAX_LISTS = 512
+KNOWN = 2048
 
 
 def rotation(length: int, seed: int = 7) -> np.ndarray:
@@ -88,6 +93,11 @@ def scan(query_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, ids: np.nda
             read += len(rows) * (end - begin)
             alive = q_prefix[rows, step] + prefix[columns, step] - 2 * partial <= slack * limit + 1e-5
             rows, columns, partial, limit = rows[alive], columns[alive], partial[alive], limit[alive]
+    return *k_best(query_ids, q, ids, o, rows, columns, k), read
+
+
+def k_best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, o: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, exact score) of up to k best per query among pairs of a row of q and a row of o."""
     other = query_ids[rows] != ids[columns]
     rows, columns = rows[other], columns[other]
     score = np.einsum("ij,ij->i", q[rows], o[columns])
@@ -95,7 +105,7 @@ def scan(query_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, ids: np.nda
     rows, columns, score = rows[order], columns[order], score[order]
     nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
     best = nth < k
-    return query_ids[rows[best]], ids[columns[best]], score[best], read
+    return query_ids[rows[best]], ids[columns[best]], score[best]
 
 
 def nearest(df: DataFrame, query: str | None, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -106,7 +116,7 @@ def nearest(df: DataFrame, query: str | None, k: int = 20, recall: float = 0.97,
     known_ids, known = vectors.sample(rows, sample_rows)
     centres = k_means(known, max(1, min(MAX_LISTS, len(known) // 16, round(n**0.5 / 3))))
     probes = probes_needed(known, centres, k, recall)
-    known_ids, known = known_ids[:2048], known[:2048]
+    known_ids, known = known_ids[:KNOWN], known[:KNOWN]
     turn = rotation(length)
 
     def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,14 +132,27 @@ def nearest(df: DataFrame, query: str | None, k: int = 20, recall: float = 0.97,
         single = x.astype(np.float32)
         return pickle.dumps((ids, single if (single == x).all() else x, turned, prefix))
 
+    def against_known(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores with the known rows, and the k-th best of each query."""
+        s = np.where(known_ids[None] == ids[:, None], -np.inf, x @ known.T)
+        return s, np.partition(s, -k, 1)[:, -k] if s.shape[1] >= k else np.full(len(s), -np.inf)
+
+    def from_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The exact k best of the known rows."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):  # so few that all may tie with all known rows
+                part = batch.slice(at, 32)
+                ids, x = part.column("vec_id").to_numpy(), vectors.matrix(part.column("vec"), length)
+                s, least = against_known(ids, x)
+                least -= 1e-12 * ((x * x).sum(1) + (known * known).sum(1).max())  # equal vectors may differ in the last bits
+                found = k_best(ids, x, known_ids, known, *np.nonzero(s >= least[:, None]), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
     def send(low: int, high: int):  # noqa: ANN202
         """Sends queries to the lists from the low-th nearest to the high-th."""
 
         def to_pages(ids: np.ndarray, x: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, bytes]]:
-            s = np.where(known_ids[None] == ids[:, None], -np.inf, x @ known.T)
-            if s.shape[1] >= k:
-                reach = np.maximum(reach, np.partition(s, -k, 1)[:, -k])
-            reach = np.maximum(reach - 1e-9, -1e30)
+            reach = np.maximum(np.maximum(reach, against_known(ids, x)[1]) - 1e-9, -1e30)
             rank = np.argsort(np.argsort(-(x @ centres.T), 1, kind="stable"), 1)
             for cell, numbers in pages.items():
                 near = np.flatnonzero((rank[:, cell] >= low) & (rank[:, cell] < high))
@@ -150,8 +173,15 @@ def nearest(df: DataFrame, query: str | None, k: int = 20, recall: float = 0.97,
     # The nearest lists first: their k-th best score bounds what the others need to give.
     first = max(1, probes // 8)
     near = vectors.query_tasks(asked.withColumn("reach", F.lit(float("-inf"))), length, send(0, first))
-    found = durable(vectors.answers(near, lists, search, k, "double"))
+    sampled = asked.mapInArrow(from_known, "query_id long, vec_id long, score double")
+    found = durable(vectors.best(vectors.answers(near, lists, search, k, "double").drop("rank").unionByName(sampled), k))
     reach = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("reach"))
     rest = vectors.query_tasks(asked.join(reach, "vec_id", "left").select("vec_id", "vec", F.coalesce("reach", F.lit(float("-inf"))).alias("reach")), length, send(first, probes))
     more = vectors.answers(rest, lists, search, k, "double")
-    return vectors.best(found.unionByName(more).drop("rank"), k)
+    out = vectors.best(found.unionByName(more).drop("rank"), k)
+    if len(known) > k or n <= min(sample_rows, KNOWN):
+        return out  # the sample holds k rows beside the query, or all rows
+    out = durable(out)
+    short = asked.join(out.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+    last = vectors.query_tasks(short.withColumn("reach", F.lit(float("-inf"))), length, send(probes, len(centres)))
+    return vectors.best(out.unionByName(vectors.answers(last, lists, search, k, "double")).drop("rank"), k)

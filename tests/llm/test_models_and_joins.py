@@ -151,6 +151,28 @@ def test_searches_of_little(spark):
     assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(few, "vec_id = 0").orderBy("rank").collect()] == [(1, 1, 0.5), (2, 2, 0.0)]
 
 
+@pytest.mark.parametrize("sample_rows", [ann.SAMPLE_ROWS, 12])
+def test_answers_have_k_rows(spark, sample_rows):
+    x = np.random.default_rng(4).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(rows, "vec_id % 20 = 0", k=20, sample_rows=sample_rows, recall=0.97 if sample_rows > 20 else 0.0).toPandas()
+    assert got.groupby("query_id").size().to_dict() == dict.fromkeys(range(0, 2000, 20), 20)
+    assert np.allclose(got["score"], (x[got["query_id"]] * x[got["vec_id"]]).sum(1), atol=1e-12)
+    assert not (got["query_id"] == got["vec_id"]).any()
+    assert not got.duplicated(["query_id", "vec_id"]).any()
+
+
+def test_answers_have_k_rows_however_few_lists_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(ann, "k_means", lambda x, k: x[: min(4, len(x))])
+    monkeypatch.setattr(ann, "probes_needed", lambda *_: 1)
+    x = np.repeat(np.eye(4), 12, 0) + np.random.default_rng(5).normal(size=(48, 4)) / 50
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(rows, None, k=20, sample_rows=15).toPandas()
+    assert got.groupby("query_id").size().to_dict() == dict.fromkeys(range(48), 20)
+    assert ann.nearest(rows, None, k=60, sample_rows=15).count() == 48 * 47
+
+
 def test_recall_against_brute_force(spark, data):
     rows = q.table(spark, data, "embeddings").toPandas()
     x, ids = np.array(rows["embedding"].tolist(), float), rows["vec_id"].to_numpy()
