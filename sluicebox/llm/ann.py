@@ -75,6 +75,8 @@ def scan(query_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, ids: np.nda
     steps = range(0, length, BLOCK)
     q_prefix = np.stack([(q_turned[:, : b + BLOCK] ** 2).sum(1) for b in steps], 1)
     limit = (q_prefix[:, -1:] + prefix[None, :, -1] - 2 * reach[:, None]).astype(np.float32)
+    # More than single precision loses in any of these sums, whatever the vectors' lengths.
+    tolerance = (length + 8) * np.finfo(np.float32).eps * (q_prefix[:, -1:] + prefix[None, :, -1])
     partial = np.zeros((len(q), len(ids)), np.float32)
     rows, columns, read = None, None, 0
     for step, begin in enumerate(steps):
@@ -83,16 +85,17 @@ def scan(query_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, ids: np.nda
         if rows is None:
             partial += q_turned[:, begin:end] @ o_turned[:, begin:end].T
             read += partial.size * (end - begin)
-            alive = q_prefix[:, step, None] + prefix[None, :, step] - 2 * partial <= slack * limit + 1e-5
+            alive = q_prefix[:, step, None] + prefix[None, :, step] - 2 * partial <= slack * limit + tolerance
             if alive.mean() < 0.3 or end == length:
                 rows, columns = np.nonzero(alive)
                 partial = partial[rows, columns]
                 limit = limit[rows, columns]
+                tolerance = tolerance[rows, columns]
         else:
             partial = partial + np.einsum("ij,ij->i", q_turned[rows, begin:end], o_turned[columns, begin:end])
             read += len(rows) * (end - begin)
-            alive = q_prefix[rows, step] + prefix[columns, step] - 2 * partial <= slack * limit + 1e-5
-            rows, columns, partial, limit = rows[alive], columns[alive], partial[alive], limit[alive]
+            alive = q_prefix[rows, step] + prefix[columns, step] - 2 * partial <= slack * limit + tolerance
+            rows, columns, partial, limit, tolerance = rows[alive], columns[alive], partial[alive], limit[alive], tolerance[alive]
     return *k_best(query_ids, q, ids, o, rows, columns, k), read
 
 

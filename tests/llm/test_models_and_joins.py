@@ -173,6 +173,19 @@ def test_answers_have_k_rows_however_few_lists_are_searched(spark, monkeypatch):
     assert ann.nearest(rows, None, k=60, sample_rows=15).count() == 48 * 47
 
 
+@pytest.mark.parametrize("norm", [0.01, 1, 10, 20, 1000])
+def test_copies_are_found_at_any_length_of_vector(norm):
+    turn = ann.rotation(64)
+    for seed in range(10):
+        v = np.random.default_rng(seed).normal(size=(1, 64))
+        v *= norm / np.linalg.norm(v)
+        copies = np.repeat(v, 300, 0)
+        turned = (copies @ turn).astype(np.float32)
+        prefix = np.stack([(turned[:, : b + ann.BLOCK] ** 2).sum(1) for b in range(0, 64, ann.BLOCK)], 1)
+        reach = np.einsum("ij,ij->i", v, v)
+        assert ann.scan(np.array([-1]), v, (v @ turn).astype(np.float32), np.arange(300), copies, turned, prefix, reach, 20)[1].tolist() == list(range(20))
+
+
 def test_recall_against_brute_force(spark, data):
     rows = q.table(spark, data, "embeddings").toPandas()
     x, ids = np.array(rows["embedding"].tolist(), float), rows["vec_id"].to_numpy()
