@@ -10,7 +10,8 @@ is never looked at. Base kinds follow their patterns exactly, leftmost and witho
 * phone: from a plus sign; 9 to 15 digits.
 
 Added kinds: url (a scheme and its host), iban (a country code and two digits, right by its check digits),
-secret (an access key id or the value after a cue such as `password=`). Added spans never remove base ones.
+secret (an access key id, or the value that a cue such as `password` gets by `=` or `:`, in any case, with or without blanks and
+quotes: `token = "..."`; six characters at least, in quotes up to the closing one). Added spans never remove base ones.
 
 Null texts count as empty and have no spans. Offsets are code points, ends exclusive. Repeated rows are each scanned.
 """
@@ -29,7 +30,7 @@ from .common import map_texts
 #: The kinds, in the order in which spans are listed.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "iban", "secret")
-CUES = ("password=", "passwd=", "secret=", "token=", "api_key=", "apikey=")
+CUES = ("password", "passwd", "secret", "token", "api_key", "api-key", "apikey", "secret_key", "access_key")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,14 +40,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HOST = re.compile(r"[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s<>\"']*)?")
 ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
-VALUE = re.compile(r"[^\s,;\"'<>]{6,}")
+VALUE = re.compile(r"[\"']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:([\"'])(?P<quoted>(?:(?!\1)[^\\\n]|\\.){6,}+)\1|[\"']?(?P<bare>[^\s,;\"'<>]{6,}))")
 DIGITS = frozenset("0123456789")
 
 
 @functools.cache
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for word in ("@", "+", "://", "AKIA", *"0123456789", *CUES):
+    for word in ("@", "+", "://", "akia", *"0123456789", *CUES):
         found.add_word(word, word)
     found.make_automaton()
     return found
@@ -57,6 +58,12 @@ def luhn(digits: str) -> bool:
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, each code point in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.replace("\u0130", "\0").lower()  # the one that would become two
+
+
 def _iban(text: str, at: int) -> tuple[int, int] | None:
     """An account number whose first check digit stands at `at`."""
     begin = at - 2
@@ -80,7 +87,7 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
             out[kind].append((begin, upto))
             end[kind] = upto
 
-    for last, word in anchors().iter(text):
+    for last, word in anchors().iter(lowered(text)):
         at = last - len(word) + 1
         if word == "@":
             begin = at
@@ -114,11 +121,11 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 begin -= 1
             if begin < at and (m := HOST.match(text, last + 1)):
                 add("url", begin, m.end())
-        elif word == "AKIA":
+        elif word == "akia":
             if (not at or not text[at - 1].isalnum()) and (m := KEY_ID.match(text, at)):
                 add("secret", *m.span())
         elif m := VALUE.match(text, last + 1):
-            add("secret", *m.span())
+            add("secret", *m.span(m.lastgroup))
     return out
 
 

@@ -156,6 +156,20 @@ def test_added_kinds_and_masks():
     assert not any(pii.spans("The plain words of a clean document, 12 of them, in 2024.").values())
 
 
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ('nan token = "24be6443f1c04d0a9b7e" thhan', "24be6443f1c04d0a9b7e"), ("Password: hunter22 ok", "hunter22"), ("API_KEY=abcdef12", "abcdef12"), ("x-api-key:abcdef12", "abcdef12"),
+        ('{"client_secret": "a,b;c d<e>"}', "a,b;c d<e>"), ("passwd\t=\t'it\\'s mine'", "it\\'s mine"), ("token='never closed", None), ("token='neverclosed", "neverclosed"), ("secret_key => abcdef12", "abcdef12"),
+        ("\u0130 TOKEN = abcdef12", "abcdef12"), ("tokens = abcdef12", None), ("the token was abcdef12", None), ('type="password" name=abcdef12', None), ("token = abc", None),
+    ],
+)
+def test_secrets_after_cues(text, secret):
+    found = pii.spans(text)["secret"]
+    assert [text[a:b] for a, b in found] == ([] if secret is None else [secret])
+    assert pii.mask(text, {"secret": found}) == (text if secret is None else text.replace(secret, "[SECRET]"))
+
+
 def test_private_data_of_a_table(spark):
     rows = spark.createDataFrame([(1, "a@b.co", 5), (1, "a@b.co", 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, n_email long")
     got = sorted(pii.find_private(rows).collect(), key=lambda r: r["doc_id"])
