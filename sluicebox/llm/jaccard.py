@@ -92,7 +92,7 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     upto = np.searchsorted(begins, ends_of)
     per_text = np.diff(upto, prepend=0)
     hashes = np.zeros(len(word), np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(word))):
         hashes[: len(word) - k] += word[k:] * PLACES[k]
     hashes = mixed(hashes + _U(words))
     # An n-gram counts if its last word is in the same text.

@@ -76,6 +76,15 @@ def test_join_of_nothing_and_repeats(spark):
     assert [r["component_id"] for r in jaccard.JaccardJoin().components(twice).collect()] == [5, 5, 5]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
+def test_join_of_one_short_text(spark, n):
+    text = " ".join("abcdef"[:n])
+    one = spark.createDataFrame([(8, text)], "doc_id long, text string")
+    assert [tuple(r) for r in jaccard.JaccardJoin().components(one).select("doc_id", "n_shingles", "component_id").collect()] == [(8, max(1, n - 4), 8)]
+    # The same sets as among other texts.
+    assert jaccard.sets([text])[0].tolist() == jaccard.sets(["x y z u v w", text])[1].tolist()
+
+
 def test_overlap_bound_never_falls_short():
     rng = np.random.default_rng(5)
     for n in (1, 10, 300, 5000, 40000):
