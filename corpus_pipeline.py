@@ -6,7 +6,8 @@ documents. What a stage learns, it learns from its own input. Rules:
 * quality: documents that the classifier predicts as 0 go.
 * language: documents without a letter, or whose language no tree explains better than the others together, go;
   a missing language is filled in.
-* duplicates: of each component of linked documents the one with the smallest doc_id stays. Documents without an id stay.
+* duplicates: of each component of linked documents the one with the smallest doc_id stays, and among those the one with the
+  smallest hash of its text; so an id that repeats with another text stays with both. Documents without an id stay.
 * private data: every span is replaced by its kind; n_chars follows. A null text stays null.
 * packing: one row per piece, see sluicebox.llm.packing.
 
@@ -42,9 +43,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  #
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    found = jaccard.JaccardJoin().components(docs)
-    chosen = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]  # maps can't be hashed
+    marks = {"__copy": F.xxhash64("text"), "__whole": F.xxhash64(*hashed)}
+    chosen = jaccard.JaccardJoin().survivors(docs, marks).withColumnRenamed("doc_id", "__id")
+    key = ["__id", *marks]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    rows = docs.filter("doc_id is not null").select(whole, F.col("doc_id").cast("long").alias("__id"), *(c.alias(n) for n, c in marks.items()))
+    return rows.join(chosen, key, "left_semi").dropDuplicates(key).select("__row.*").unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001

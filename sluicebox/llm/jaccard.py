@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, sums_by_chunk, text_slices
@@ -176,9 +176,11 @@ class JaccardJoin:
         return sums_by_chunk(texts.select("__text"), count, 1 << BUCKET_BITS)
 
     def signatures(self, texts: DataFrame, frequency: np.ndarray) -> DataFrame:
-        """doc_id, n, digest, prefix, sketch of each text."""
+        """doc_id, n, digest, prefix, sketch of each text, and what other columns the texts have."""
         shared = texts.sparkSession.sparkContext.broadcast(np.minimum(frequency, (1 << 31) - 1).astype(np.uint32))
         words, num, den = self.words, self.num, self.den
+        kept = texts.select("doc_id", *(c for c in texts.columns if c not in ("doc_id", "__text")), "__text")
+        others = kept.columns[1:-1]
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = shared.value.astype(np.uint64)
@@ -192,10 +194,10 @@ class JaccardJoin:
                         order = np.argsort(key, kind="stable")[: prefix_size(len(own), num, den)] if len(own) else []
                         prefixes.append(own[order].tobytes())
                         sketches.append(sketch(own))
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "digest", "prefix", "sketch"])
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), *(rows.column(c) for c in others)], ["doc_id", "n", "digest", "prefix", "sketch", *others])
             _forget_powers()
 
-        return texts.select("doc_id", "__text").mapInArrow(work, "doc_id long, n long, digest long, prefix binary, sketch binary")
+        return kept.mapInArrow(work, ", ".join(["doc_id long, n long, digest long, prefix binary, sketch binary", *(f"{c} {t}" for c, t in kept.dtypes[1:-1])]))
 
     # Step 3.
 
@@ -400,7 +402,29 @@ class JaccardJoin:
 
     def components(self, docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
         """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
-        texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
+        signed, named = self.linked(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("__text")))
+        # The component's name: its smallest doc_id.
+        smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        of_class = durable(named.join(smallest, "comp").select("cls", "component_id"))
+        # Copies are joined to their class; a class with very many copies is split as a skewed join.
+        found = signed.select("doc_id", "n", "cls").join(of_class, "cls", "left")
+        return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+    def survivors(self, docs: DataFrame, marks: dict[str, Column], text_col: str = "text", key: str = "doc_id") -> DataFrame:
+        """doc_id and marks of one row of each component: the least by doc_id, then by the marks (longs). Rows without an id don't count.
+
+        A doc_id may repeat with other texts: each row counts in its own text's component. Texts without words are alike if their ids are.
+        """
+        signed, named = self.linked(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("__text"), *(c.alias(n) for n, c in marks.items())))
+        there = signed.filter("doc_id is not null")
+        least = F.min(F.struct("doc_id", *marks)).alias("least")
+        # First within classes: a class has any number of copies.
+        worded = there.filter("n > 0").groupBy("cls").agg(least).join(named.select("cls", "comp"), "cls").groupBy("comp").agg(F.min("least").alias("least"))
+        wordless = there.filter("n = 0").groupBy("doc_id").agg(least)
+        return worded.select("least.*").unionByName(wordless.select("least.*"))
+
+    def linked(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(signatures with each row's class, (cls, doc_id, comp): each class's smallest doc_id and the component it is in)."""
         signed = durable(self.signatures(texts, self.frequencies(texts)).withColumn("cls", F.xxhash64("digest", "n")))
         classes = durable(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
         got = durable(self.candidates(self.postings(classes)))
@@ -422,13 +446,8 @@ class JaccardJoin:
             if not new.isEmpty():
                 links = links.unionByName(self.verified(new, classes, texts))
                 label = connected(links)
-        # The component's name: its smallest doc_id.
         named = durable(classes.select("cls", "doc_id").join(label.withColumnsRenamed({"id": "cls"}), "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp")))
-        smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        of_class = durable(named.join(smallest, "comp").select("cls", "component_id"))
-        # Copies are joined to their class; a class with very many copies is split as a skewed join.
-        found = signed.select("doc_id", "n", "cls").join(of_class, "cls", "left")
-        return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return signed, named
 
 
 PAIRS = "token long, a long, b long, size_a long, size_b long"
