@@ -48,8 +48,14 @@ def best_failed(verdicts: DataFrame, key: str, rank: str, rate: str) -> DataFram
 
 
 def islands(rows: DataFrame, order: str, flag: Column, partition: list[str] | None = None) -> DataFrame:
-    """Adds streak: how long the current run of flagged rows is; 0 for rows without the flag."""
-    whole = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(order)
+    """Adds streak: how long the current run of flagged rows is; 0 for rows without the flag.
+
+    A run is one sequence, so each partition's rows are walked through in one task: name columns that divide the table, such as
+    a job or a log. A table that is one single sequence says so by partition=[].
+    """
+    if partition is None:
+        raise ValueError("islands needs the columns that divide the table into sequences, [] for one")
+    whole = Window.partitionBy(*partition).orderBy(order)
     rows = rows.withColumn("__flag", flag).withColumn("__island", F.sum(F.when(F.col("__flag"), 0).otherwise(1)).over(whole))
-    run = Window.partitionBy(*(partition or []), "__island").orderBy(order)
+    run = Window.partitionBy(*partition, "__island").orderBy(order)
     return rows.withColumn("streak", F.when(F.col("__flag"), F.sum(F.col("__flag").cast("int")).over(run)).otherwise(0).cast("long")).drop("__flag", "__island")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import smallest_by_hash
+
 
 def variant_summary(rows: DataFrame) -> DataFrame:
     """One row per variant: samples, strict passes, rates, flags and token percentiles."""
@@ -77,10 +79,11 @@ def disagreement(judgments: DataFrame) -> DataFrame:
 
 
 def blind_order(rows: DataFrame, pair: str, key: str, seed: int) -> DataFrame:
-    """Adds swapped: half of each pair's rows (rounded down), by hash order."""
-    inside = Window.partitionBy(pair)
-    rank = F.row_number().over(inside.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(pair).cast("string"), F.lit(":"), F.col(key).cast("string")), 256), key))
-    return rows.withColumn("__n", F.count(F.lit(1)).over(inside)).withColumn("swapped", rank <= F.floor(F.col("__n") / 2)).drop("__n")
+    """Adds swapped: half of each pair's rows (rounded down), by hash order. Keys must differ within a pair; a null pair is a pair."""
+    named = rows.withColumn("__pair", F.coalesce(F.col(pair).cast("string"), F.lit(""))).withColumn("__hash", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("__pair"), F.lit(":"), F.col(key).cast("string")), 256))
+    halves = named.groupBy("__pair").agg(F.floor(F.count(F.lit(1)) / 2).alias("quota"))
+    swapped = smallest_by_hash(named.select("__pair", "__hash"), "__pair", "__hash", halves).withColumn("swapped", F.lit(True))
+    return named.join(swapped, ["__pair", "__hash"], "left").withColumn("swapped", F.coalesce("swapped", F.lit(False))).drop("__pair", "__hash")
 
 
 def group_rewards(rows: DataFrame, group: str, reward: str) -> DataFrame:

@@ -23,9 +23,10 @@ def supervised(labels: Column) -> Column:
 
 def pad_batch(rows: DataFrame, ids: str, batch: str, pad: int, multiple: int = 8) -> DataFrame:
     """Adds padded and attention: each array filled up to the batch's longest, rounded up to a multiple."""
-    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
-    width = (F.ceil(longest / multiple) * multiple).cast("int")
-    rows = rows.withColumn("__width", width)
+    # The longest by an aggregate that combines first; a batch that holds most rows is split as a skewed join.
+    width = (F.ceil(F.max(F.size(ids)) / multiple) * multiple).cast("int")
+    widths = rows.groupBy(F.col(batch).alias("__batch")).agg(width.alias("__width"))
+    rows = rows.join(widths, F.col(batch).eqNullSafe(F.col("__batch"))).drop("__batch")
     fill = F.col("__width") - F.size(ids)
     padded = F.concat(F.col(ids), F.array_repeat(F.lit(pad), fill))
     attention = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), fill))

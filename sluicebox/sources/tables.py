@@ -124,11 +124,29 @@ def inspect_tasks(rows: DataFrame, keys: tuple[str, ...] = TASK_KEYS, key: str =
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one of the driver only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluicebox-")
+    """A new folder that driver and executors share: below spark.checkpoint.dir, else a temporary one, on a single machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="sluicebox-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/sluicebox-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again: worked out once, and whole if an executor is lost. `release` removes them."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that this application has written to the shared folder, once nothing reads them any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark)).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # Writers.
 
 

@@ -38,6 +38,52 @@ def test_positions_on_empty_and_tied(spark):
     assert [(r["b"], r["ord"]) for r in got] == [("z", 0), ("x", 1), ("y", 2)]
 
 
+@pytest.mark.parametrize(("parts", "adaptive"), [(4, "true"), (200, "false")])
+def test_positions_are_distinct_when_written(spark, tmp_path, parts, adaptive):
+    """Places and counts must come from one run of the range sort: seen in written rows only, and not in small tables."""
+    n = 1_000_000
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        ids = spark.range(0, n, 1, 7).withColumn("len", F.pmod(F.xxhash64("id"), F.lit(900)))
+        made = {
+            "one key": sampling.positions(ids, [sampling.hash_order(1, "x", F.col("id")).alias("h")]).select("ord"),
+            "two keys": sampling.positions(ids, [(F.col("id") % 3 == 0).alias("a"), F.col("id")]).select("ord"),
+            "buckets": tokens.length_buckets(ids, "len", "id", 32).select(F.col("bucket").alias("ord")),
+        }
+        for name, rows in made.items():
+            rows.write.parquet(str(tmp_path / name))
+            ords = spark.read.parquet(str(tmp_path / name)).groupBy("ord").count()
+            got = ords.agg(F.count(F.lit(1)), F.min("ord"), F.max("ord"), F.min("count"), F.max("count")).first()
+            assert tuple(got) == ((n // 32, 0, n // 32 - 1, 32, 32) if name == "buckets" else (n, 0, n - 1, 1, 1)), name
+        by_length = tokens.length_buckets(ids, "len", "id", 32).groupBy("bucket").agg(F.min("len").alias("a"), F.max("len").alias("b")).orderBy("bucket").toPandas()
+        assert (by_length["b"][:-1].to_numpy() <= by_length["a"][1:].to_numpy()).all()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_samples_by_bucket_and_ids(spark):
+    rows = frame(spark, [(i, "ab"[i % 2], "xyz"[i % 3]) for i in range(60)] + [(60, None, "x")], "id long, a string, b string")
+    order = lambda a, b: sorted((i for i in range(60) if "ab"[i % 2] == a and "xyz"[i % 3] == b), key=lambda i: hashlib.sha256(f"5:{a}:{b}:{i}".encode()).digest())
+    got = sampling.take_per_bucket(rows, ["a", "b"], {("b", "z"): 3, ("a", "x"): 99, ("a", "q"): 2}, "id", 5).collect()
+    assert sorted((r["bucket_order"], r["id"]) for r in got) == sorted([(0, i) for i in order("b", "z")[:3]] + [(1, i) for i in order("a", "x")])
+    ids = [tuple(r) for r in sampling.stratified_sample_ids(rows, "id", ["a", "b"], 12, 5).orderBy("ord").collect()]
+    assert [i for i, _ in ids] == list(range(12))
+    assert [x for _, x in ids] == sorted({x for _, x in ids})
+    assert sampling.stratified_sample_ids(rows, "id", ["a"], 1000, 5).count() == 61
+    assert sampling.smallest_by_hash(rows.withColumn("h", F.sha2(F.col("id").cast("string"), 256)), "a", "h", frame(spark, [("a", 0)], "a string, quota long")).count() == 0
+
+
+def test_halves_of_pairs_are_swapped(spark):
+    rows = frame(spark, [(i, "p" if i < 9 else "q") for i in range(14)], "id long, pair string")
+    got = {r["id"]: r["swapped"] for r in evaluation.blind_order(rows, "pair", "id", 3).collect()}
+    for pair, ids in (("p", range(9)), ("q", range(9, 14))):
+        first = sorted(ids, key=lambda i: hashlib.sha256(f"3:{pair}:{i}".encode()).digest())[: len(ids) // 2]
+        assert {i for i in ids if got[i]} == set(first)
+
+
 def test_curriculum_needs_exact_counts(spark):
     rows = frame(spark, [("easy",), ("easy",), ("hard",)], "s string")
     assert sampling.curriculum(rows, "s", {"easy": 2, "hard": 1}).count() == 3
@@ -60,7 +106,7 @@ def test_latest_and_islands(spark):
     rows = frame(spark, [(1, 1, "a"), (1, 3, "c"), (1, 2, None), (None, 5, "n")], "k long, o long, v string")
     assert {tuple(r) for r in dedup.latest(rows, "k", "o").collect()} == {(1, 3, "c"), (None, 5, "n")}
     flags = frame(spark, [(i, f) for i, f in enumerate([True, True, False, True, True, True])], "o long, f boolean")
-    assert [r["streak"] for r in dedup.islands(flags, "o", F.col("f")).orderBy("o").collect()] == [1, 2, 0, 1, 2, 3]
+    assert [r["streak"] for r in dedup.islands(flags, "o", F.col("f"), []).orderBy("o").collect()] == [1, 2, 0, 1, 2, 3]
 
 
 def test_label_mask_and_padding(spark):
