@@ -55,14 +55,65 @@ def test_chunks_scan_to_the_same_borders():
     assert fst_tokens.borders(classes).tolist() == sorted(want)
 
 
-@pytest.mark.parametrize("leaf", [8, 64])
-def test_tree_encodes_like_the_library(leaf):
-    codec = encoding(RANKS)
-    tree = bpe_tree.Encoder(codec, bpe_tree.encoder(RANKS).widths, leaf)
-    for text in random_texts(leaf, 600):
-        ids = tree.encode(text)
+LONG = ["日本語" * 2000, "ab" * 4000, " " + "=-_'+*" * 700, "привет мир " * 300, "नमस्ते " * 300, "中文，字符。" * 500, "x" * 4095, "y " * 2048, "z" * 4097]
+
+
+@pytest.mark.parametrize(("leaf", "window"), [(1, 1), (2, 3), (5, 8), (bpe_tree.LEAF, bpe_tree.WINDOW)])
+def test_tree_encodes_like_the_library(leaf, window):
+    codec, known = encoding(RANKS), bpe_tree.encoder(RANKS, bpe_tree.code_point_classes())
+    tree = bpe_tree.Encoder(codec, known.tokens, known.classes, leaf, window)
+    rnd = random.Random(leaf)
+    runs = ["".join(rnd.choice(signs) for _ in range(2000)) for signs in ("abcdefgh", "日本語中文字符", "=-_*+", "0123456789", "'sl e")]
+    texts = random_texts(leaf, 600) + LONG + runs
+    for text, ids in zip(texts, tree.encode_all(texts), strict=True):
         assert ids.tolist() == codec.encode_ordinary(text)
         assert tree.decode(ids) == text.encode()
+    assert [x.tolist() for x in tree.encode_all([])] == []
+
+
+def test_joins_decide_texts_of_a_few_words():
+    """Without its joins the tree gives other ids, also for short texts."""
+    known = bpe_tree.encoder(RANKS, bpe_tree.code_point_classes())
+    tree = bpe_tree.Encoder(encoding(RANKS), known.tokens, known.classes)
+    tree._write, tree._grow = (lambda *_: None), (lambda *_: None)
+    text = "several ordinary words of a short text"
+    assert tree.encode(text).tolist() != encoding(RANKS).encode_ordinary(text)
+
+
+@pytest.mark.parametrize("name", [RANKS, JSON])
+def test_every_token_is_a_merge_of_two(name):
+    """What the proof of growing windows rests on: merging a token's bytes gives that token."""
+    ranks = vocabulary(name)[0]
+    for token, rank in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            least, i = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            assert least <= rank, token
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_round_trip_of_a_table(spark):
+    codec = encoding(RANKS)
+    texts = [*random_texts(11, 60), *LONG, None, "", "<|endoftext|> x", "same", "same"]
+    rows = spark.createDataFrame([(i, t, -1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens long").repartition(3)
+    got = {r["doc_id"]: r for r in bpe_tree.round_trip(rows).collect()}
+    ids_of = {r["doc_id"]: r["ids"] for r in bpe_tree.encode_texts(rows).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        ids = codec.encode_ordinary(text or "")
+        assert ids_of[i] == ids
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    assert bpe_tree.round_trip(rows.filter("doc_id < 0")).count() == 0
+
+
+def test_token_counts_of_a_table(spark, library):
+    texts = [*random_texts(12, 60), *LONG, None, "", "<|endoftext|> x", "same", "same", " of the" * 300]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in fst_tokens.token_counts(rows, limit=512).collect()}
+    for i, text in enumerate(texts):
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        assert got[i] == (len((text or "").encode()), n, n > 512)
+    assert fst_tokens.token_counts(rows.filter("doc_id < 0")).count() == 0
 
 
 def test_packing_ids_are_the_librarys(library):
