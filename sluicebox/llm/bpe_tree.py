@@ -229,7 +229,7 @@ def encode_texts(df: DataFrame, text_col: str = "text", vocabulary_file: str = "
 
     def function():  # noqa: ANN202
         codec = encoder(vocabulary_file, classes)
-        return lambda texts, rows: {"ids": codec.encode_all(texts)}  # noqa: ARG005
+        return lambda texts, rows: {"ids": [ids.astype(np.int32) for ids in codec.encode_all(texts)]}  # noqa: ARG005
 
     return map_texts(df, text_col, keep, "ids array<int>", function)
 

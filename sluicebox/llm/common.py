@@ -20,7 +20,11 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch limits to what whole texts need; lower ones stay."""
+    """Lowers the session's Arrow batch limits to what whole texts need; lower ones stay.
+
+    The limits count when a query runs, after this library has returned it, so they stay lowered in the session: it bounds memory,
+    no results.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = int(spark.conf.get(key).rstrip("b"))
         if now <= 0 or now > most:
@@ -38,9 +42,11 @@ def crc_mod(col: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only where none is set, on a single machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="sluicebox-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/sluicebox-{spark.sparkContext.applicationId}"
@@ -62,6 +68,24 @@ def kept_table(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables of one computation: all but those that its result reads are removed when it ends."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """As `durable`, until `clear`."""
+        table, path = kept_table(df)
+        self.paths.append((df.sparkSession, path))
+        return table
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            remove(spark, path)
+        self.paths = []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -9,8 +9,9 @@ fitted to the gradients' histogram of that feature alone, is added to its table
 largest gain over what is left get tables of their own, by trees that cut each of the two features once.
 
 Learning takes a bounded sample of labelled rows (`max_rows` in expectation, by a hash of doc_id), whose features reach the driver.
-Null texts count as empty and are scored. Without labels of both classes, the score is the share of 1s, or 0.5. Labels that occur
-twice for a document count as one, the larger. Repeated documents are scored each.
+Null texts count as empty and are scored; an empty table gives no rows. Without labels of both classes, the score is the share of 1s, or
+0.5. Labels that occur twice for a document count as one, the larger; of documents that repeat an id, with whatever texts, the one
+with the least features is learned from. All are scored. A kept column with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -213,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     # At most about max_rows rows of two numbers: a proven bound for the broadcast.
     chosen = marked.filter(F.pmod(F.xxhash64("__key", F.lit(29)), F.lit(1 << 30)) < share)
     rows = docs.select(F.col(key).alias("__key"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__key")
-    got = text_features(rows, "__text", ["__key", "__label"]).orderBy("__key").toPandas()
+    # One row of features for each key, however often it occurs: tasks combine before rows are moved.
+    got = text_features(rows, "__text", ["__key", "__label"]).groupBy("__key", "__label").agg(F.min("features").alias("features")).orderBy("__key").toPandas()
     return train(np.array(got["features"].tolist(), float).reshape(len(got), len(FEATURES)), got["__label"].to_numpy(float))
 
 

@@ -249,13 +249,82 @@ def test_code_lengths_are_those_of_plain_matching():
     import pandas as pd
 
     grams = pd.DataFrame([(lang, (c[0] << 24 | c[1] << 16 | c[2] << 8 | b), n) for lang, own in zip("xy", counts, strict=True) for c, row in own.items() if len(c) == 3 for b, n in row.items()], columns=["lang", "gram", "n"])
-    model = ppm.model_of(grams, 4096)
-    for text in ("abra", "bandana!", "zzz", "a"):
+    model = ppm.model_of(grams)
+    for text in ("abra", "bandana!", "zzz", "a", "cadabrand ban", "é", "bz az\x00"):
         data = ppm.PAD + text.encode()
         want = [sum(bits(own, data[i - 3 : i], data[i]) for i in range(3, len(data))) for own in counts]
         assert np.allclose(ppm.code_lengths([text], model)[:, 0], want, rtol=1e-5)
 
 
+def plain_bits(own: dict, data: bytes) -> float:
+    """A restatement of partial matching on a dictionary of contexts to counts."""
+    total = 0.0
+    for i in range(3, len(data)):
+        excluded: set[int] = set()
+        for order in (3, 2, 1, 0):
+            seen = {b: n for b, n in own.get(data[i - order : i], {}).items() if b not in excluded}
+            n, d = sum(seen.values()), len(seen)
+            if data[i] in seen:
+                total += math.log2((n + d) / seen[data[i]])
+                break
+            total += math.log2((n + d) / d) if d else 0
+            excluded |= set(seen)
+        else:
+            total += math.log2(256 - len(excluded))
+    return total
+
+
+def test_language_query_is_plain_partial_matching(spark, data):
+    """The whole query against a restatement: which rows are learned from, every context, every prediction."""
+    import collections
+    import zlib
+
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in q.table(spark, data, "documents").collect()]
+    trees: dict = collections.defaultdict(lambda: collections.defaultdict(collections.Counter))
+    for doc_id, text, lang in docs:
+        if text is not None and lang is not None and zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            stream = ppm.PAD + text.encode()
+            for i in range(3, len(stream)):
+                for order in range(4):
+                    trees[lang][stream[i - order : i]][stream[i]] += 1
+    assert max(len([c for c in tree if len(c) == 3]) for tree in trees.values()) > 1000
+    model = ppm.fit(q.table(spark, data, "documents"), use=q.crc_mod(q.F.col("doc_id"), 4) != 2)
+    rows = {r["doc_id"]: r for r in q.op2_language_id(spark, data).collect()}
+    assert set(rows) == {d for d, _, _ in docs}
+    for doc_id, text, _ in docs:
+        assert rows[doc_id]["held_out"] == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
+        part = (text or "")[:400]
+        want = [plain_bits(trees[lang], ppm.PAD + part.encode()) for lang in sorted(trees)]
+        assert np.allclose(ppm.code_lengths([part], model)[:, 0], want, rtol=1e-4)
+        if text and len(text) <= 400:
+            assert rows[doc_id]["lang_pred"] in ("und", sorted(trees)[int(np.argmin(want))])
+
+
+def test_many_scripts_keep_all_their_contexts(spark):
+    """No language loses contexts to another, however many there are; too many are an error."""
+    rnd = random.Random(3)
+    alphabets = {f"l{k:02}": [chr(c) for c in range(0x400 + 40 * k, 0x400 + 40 * k + 30)] for k in range(24)}
+    word = lambda a: "".join(rnd.choice(a) for _ in range(rnd.randrange(2, 8)))
+    docs = [(i, " ".join(word(a) for _ in range(300 if lang != "l07" else 20)), lang) for i, (lang, a) in enumerate(list(alphabets.items()) * 3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = ppm.fit(frame)
+    assert model.bits.shape[1] == len({t for _, text, _ in docs for s in [ppm.PAD + text.encode()] for t in (s[i - 3 : i + 1] for i in range(3, len(s)))})
+    asked = spark.createDataFrame([(100 + i, " ".join(word(a) for _ in range(3)), lang, "x") for i, (lang, a) in enumerate(alphabets.items())], "doc_id long, text string, lang string, score string")
+    assert all(r["lang"] == r["lang_pred"] for r in ppm.identify(asked, model).collect())
+    assert ppm.identify(asked.filter("doc_id < 0"), model).count() == 0
+    dirty = spark.range(600).selectExpr("id as doc_id", "'a b' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="values of the language"):
+        ppm.fit(dirty)
+
+
+def test_language_of_a_very_long_text():
+    counts = __import__("pandas").DataFrame([("x", 0x0A0A0A61, 1), ("x", 0x0A0A6162, 5), ("y", 0x0A0A0A62, 1)], columns=["lang", "gram", "n"])
+    model = ppm.model_of(counts)
+    one, many = ppm.code_lengths(["ab" * 50], model)[:, 0], ppm.code_lengths(["ab" * 1_000_000, "", "a"], model)
+    assert many[:, 1].tolist() == [0, 0]
+    assert np.allclose(many[:, 0], one * 20_000, rtol=0.02)
+
+
 def test_language_of_odd_texts(spark):
     docs = spark.createDataFrame([(i, "the cat sat on the mat", "en") for i in range(5)] + [(9, "der hund und die katze", "de"), (10, None, "en"), (11, "123 !", None), (12, "", "de")], "doc_id long, text string, lang string")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in ppm.identify(docs, ppm.fit(docs), keep=["doc_id"]).collect()}
