@@ -29,6 +29,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -38,8 +39,8 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 from .tokenizer_files import encoding, vocabulary
 
-#: Characters that one leaf encodes: a word or two.
-LEAF = 16
+#: Characters that one leaf encodes: some words.
+LEAF = 32
 #: Windows of up to so many characters are encoded whole; longer ones begin with so many bytes on each side of the middle.
 WINDOW = 64
 WHITE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
@@ -92,11 +93,26 @@ def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begins - upto + sizes, sizes)
 
 
+class Windows(dict):
+    """Encodings of windows: most hold one word, and words come again. Emptied when it has `most`."""
+
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 1 << 16) -> None:
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, window: str) -> list[int]:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[window] = self.encode(window)
+        return found
+
+
 class Encoder:
     def __init__(self, codec: tiktoken.Encoding, tokens: list[bytes], classes: np.ndarray, leaf: int = LEAF, window: int = WINDOW) -> None:
         self.codec, self.tokens, self.classes, self.leaf, self.window = codec, tokens, classes, leaf, window
         self.widths = np.array([len(t) for t in tokens], np.int64)
         self.core = codec._core_bpe.encode_ordinary
+        self.windows = Windows(self.core)
         self.stay: dict[tuple[int, int], bool] = {}
 
     def apart(self, left: int, right: int) -> bool:
@@ -135,7 +151,7 @@ class Encoder:
         for b, m, e in reversed(levels):
             f, u = np.maximum(before[m], b), np.minimum(after[m], e)
             near = (u - f <= self.window) & (u > f)
-            self._write(ids, byte_at, f[near], [self.core(whole[x:y]) for x, y in zip(f[near].tolist(), u[near].tolist(), strict=True)], u[near])
+            self._write(ids, byte_at, f[near], [self.windows[whole[x:y]] for x, y in zip(f[near].tolist(), u[near].tolist(), strict=True)], u[near])
             for k in np.flatnonzero(u - f > self.window).tolist():
                 self._grow(ids, byte_at, whole, kind, int(f[k]), int(m[k]), int(u[k]))
         spans = byte_at[np.concatenate([[0], ends])]
