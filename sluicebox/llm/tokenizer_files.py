@@ -27,7 +27,8 @@ def byte_letters() -> dict[str, int]:
 def vocabulary(name: str) -> tuple[dict[bytes, int], dict[str, int]]:
     """(rank of each token's bytes, id of each special string).
 
-    In a .json file ids must follow the order of merges, as they do in byte-level vocabularies of this kind; this is checked.
+    In a .json file ids must follow the order of merges, as they do in byte-level vocabularies of this kind; another file is refused. So
+    merging by rank gives the ids that merging by the file's own list gives: the rule by which `encoding` stands for the file's library.
     """
     if not name.endswith(".json"):
         with open(path(name), "rb") as lines:
