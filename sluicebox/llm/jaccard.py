@@ -5,27 +5,33 @@ sequence counts as one n-gram). Two documents link when |A & B| / |A | B| is at
 
 1. `frequencies`: how often n-grams occur, in a table of fixed size (a counter per hash bucket). It only serves the order,
    so buckets shared by several n-grams cost time, not links.
-2. `signatures`: per document the size of its set, the set's digest, its prefix (the n-grams that are rarest by
+2. `signatures`: per document the size of its set, a digest of 128 bits, its prefix (the n-grams that are rarest by
    (bucket count, hash), as many as a link must share one of) and a sketch (set elements per hash range).
-   Documents with one digest and size are one class; from here on each class is one row, however many copies.
+   Documents with one digest and size are one class; from here on each class is one row with a number of its own, however many copies.
 3. Prefix n-grams are dealt out by hash and sorted. Classes that share one are candidates if they pass the length and the positional
    filter. Groups of up to SMALL classes list all their candidates. A larger group has a hub, the member that is in most of the larger
-   groups (the original of near copies is in all of theirs), and lists its candidates with the hub alone.
+   groups (the original of near copies is in all of theirs), and lists its candidates with the hub alone. N-grams that
+   may have a larger share of all postings than others by far (a counter of fixed size tells) aren't dealt to one task: their groups are counted by
+   an aggregate that combines before it shuffles, and their members are found where they are, by a join with the few that are large.
 4. The suffix filter compares sketches: the sum over hash ranges of the smaller count bounds the overlap. What is left is verified
-   once per pair, on whole sets; sets are computed anew for those documents only.
-5. Larger groups whose members are then all in one component are done: more links would change nothing. The members of the others
-   are taken together by hub, each once with its sketch, in pairs of blocks of bounded size, and only candidates across
-   components that pass length and suffix filter come out. So no link between two components is lost, and large groups of near
-   copies, linked or just not, don't give all their pairs. The new candidates are verified as before.
+   once per pair, on whole sets, which are computed anew for those documents only: the anchor of a pair (the hub) is sent once to each block of
+   at most FAMILY partners, not once to each partner.
+5. Larger groups whose members are then all in one component are done: more links would change nothing. In the others, taken
+   together by hub, the members outside the largest component are compared with all members of other components, in pairs of blocks of bounded
+   size; only candidates that pass length and suffix filter come out. So no link between two components is lost, and large groups of
+   near copies, linked or just not, don't give all their pairs: one member that differs costs as many comparisons as there are others.
+   (A group without any links, all of whose members pass the filters of step 3, does compare each two: m^2 / 2 sketches.)
 6. Components: each node takes its smallest neighbour, chains are shortened, edges contracted, until none is left.
 
 Defined cases: null and blank texts have size 0 and link with nothing; repeated rows are copies; ids are returned as they
-are, and a null doc_id only gets a component if a copy or near copy has an id. An empty table gives no rows. 64-bit hashes stand for n-grams,
-and a 64-bit digest together with the size for sets.
+are, and a null doc_id only gets a component if a copy or near copy has an id. An empty table gives no rows. Other columns aren't read,
+whatever their names. 64-bit hashes stand for n-grams: two n-grams with one hash would count as one. Texts of more than LONG characters are
+gone through in blocks of words; besides, work arrays take some 60 bytes per byte of a slice of texts, and a set 8 bytes per word.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +39,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sums_by_chunk, text_slices
+from .common import Scratch, durable, sums_by_chunk, text_slices
 
 WORDS = 5
 BUCKET_BITS = 18
 #: A group of up to so many classes lists all its pairs at once.
 SMALL = 8
-#: So many members of a larger group are compared in one task.
+#: So many members of a larger group are in one block, of which a task compares two.
 FAMILY = 4096
-FILTER_BITS = 20
+#: An n-gram is dealt to one task only if its bucket holds no more postings than so many, or so many times the mean.
+HOT, HOT_TIMES = 512, 8
+#: Bits by which the documents to verify are picked without a join, for each of them, and at most (8 MB); beyond, a join picks them.
+FILTER_TIMES, FILTER_BITS = 16, 26
+#: Rows of a table that is sent to all tasks at most (16 bytes each); beyond, a join by shuffle takes its place.
+SENT_ROWS = 1 << 20
+#: Texts of more characters are gone through in blocks of so many words.
+LONG, LONG_WORDS = 4 << 20, 200_000
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _U = np.uint64
 #: Odd constants and a table of random values, the same in every process.
@@ -51,6 +65,7 @@ BYTE_VALUES[65:91] = BYTE_VALUES[97:123]
 BASE = _U(int(_random.integers(1 << 61, 1 << 62)) * 2 + 1)
 INVERSE = _U(pow(int(BASE), -1, 1 << 64))
 PLACES = _random.integers(1 << 61, 1 << 62, 64, dtype=np.uint64) * _U(2) + _U(1)
+SEEDS = _random.integers(1, 1 << 63, 2, dtype=np.uint64)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -78,6 +93,27 @@ def _forget_powers() -> None:
 
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all n-grams of all texts, how many each text has); repeats within a text are kept."""
+    if max(map(len, texts), default=0) <= LONG:
+        return _shingles(texts, words)
+    parts = [_long_shingles(t, words) if len(t) > LONG else _shingles([t], words)[0] for t in texts]
+    return np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+def _long_shingles(text: str, words: int) -> np.ndarray:
+    """Those of one long text: a block holds the n-grams that begin with its own words."""
+    begins = np.fromiter((m.start() for m in WORD.finditer(text)), np.int64)
+    if len(begins) <= LONG_WORDS + words:
+        return _shingles([text], words)[0]
+    out = []
+    for k in range(0, len(begins) - words + 1, LONG_WORDS):
+        after = k + LONG_WORDS + words - 1
+        out.append(_shingles([text[begins[k] : begins[after] if after < len(begins) else len(text)]], words)[0])
+    return np.concatenate(out)
+
+
+def _shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     data = np.frombuffer(" ".join(texts).encode() + b" ", np.uint8)
     ends_of = np.cumsum([len(t.encode()) + 1 for t in texts])
     blank = BLANK[data]
@@ -116,6 +152,11 @@ def prefix_size(n: np.ndarray | int, numerator: int, denominator: int) -> np.nda
     return n - (numerator * n + denominator - 1) // denominator + 1
 
 
+def digests(own: np.ndarray) -> tuple[int, int]:
+    """Two sums of 64 bits over a set, each of other values."""
+    return tuple(int(mixed(own ^ seed).sum(dtype=np.uint64).astype(np.int64)) for seed in SEEDS)
+
+
 def sketch(elements: np.ndarray) -> bytes:
     """Elements per hash range, one or two to a range, 255 meaning 255 or more."""
     bits = max(4, len(elements).bit_length() - 1)
@@ -176,7 +217,7 @@ class JaccardJoin:
         return sums_by_chunk(texts.select("__text"), count, 1 << BUCKET_BITS)
 
     def signatures(self, texts: DataFrame, frequency: np.ndarray) -> DataFrame:
-        """doc_id, n, digest, prefix, sketch of each text, and what other columns the texts have."""
+        """doc_id, n, d1, d2 (the digest), prefix, sketch of each text, and what other columns the texts have."""
         shared = texts.sparkSession.sparkContext.broadcast(np.minimum(frequency, (1 << 31) - 1).astype(np.uint32))
         words, num, den = self.words, self.num, self.den
         kept = texts.select("doc_id", *(c for c in texts.columns if c not in ("doc_id", "__text")), "__text")
@@ -189,33 +230,65 @@ class JaccardJoin:
                     n, digest, prefixes, sketches = [], [], [], []
                     for own in sets(part, words):
                         n.append(len(own))
-                        digest.append(int((mixed(own ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)).astype(np.int64)))
+                        digest.append(digests(own))
                         key = counts[(own >> _U(64 - BUCKET_BITS)).astype(np.int64)] << _U(32) | own & _U(0xFFFFFFFF)
                         order = np.argsort(key, kind="stable")[: prefix_size(len(own), num, den)] if len(own) else []
                         prefixes.append(own[order].tobytes())
                         sketches.append(sketch(own))
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), *(rows.column(c) for c in others)], ["doc_id", "n", "digest", "prefix", "sketch", *others])
+                    d1, d2 = (pa.array(d, pa.int64()) for d in zip(*digest, strict=True))
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), d1, d2, pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), *(rows.column(c) for c in others)], ["doc_id", *KEY, "prefix", "sketch", *others])
             _forget_powers()
 
-        return kept.mapInArrow(work, ", ".join(["doc_id long, n long, digest long, prefix binary, sketch binary", *(f"{c} {t}" for c, t in kept.dtypes[1:-1])]))
+        return kept.mapInArrow(work, ", ".join(["doc_id long, n long, d1 long, d2 long, prefix binary, sketch binary", *(f"{c} {t}" for c, t in kept.dtypes[1:-1])]))
 
     # Step 3.
 
     @staticmethod
-    def postings(classes: DataFrame) -> DataFrame:
-        """token, cls, n, place for each element of each class's prefix."""
+    def postings(classes: DataFrame, hot: np.ndarray, wanted: bool) -> DataFrame:
+        """token, cls, size (n and place) for each element of each class's prefix: those in hot buckets, or the others."""
+        shared = classes.sparkSession.sparkContext.broadcast(np.packbits(hot))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags = np.unpackbits(shared.value).astype(bool)
             for batch in batches:
                 cls, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "n"))
-                prefixes = [np.frombuffer(p, "<i8") for p in batch.column("prefix").to_pylist()]
-                size = np.array([len(p) for p in prefixes])
-                if size.sum():
-                    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), pa.array(np.repeat(cls, size)), pa.array(np.repeat(n, size) << 24 | np.minimum(place, (1 << 24) - 1))], ["token", "cls", "size"])
+                token, size = _elements(batch.column("prefix").to_pylist())
+                if not len(token):
+                    continue
+                place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+                some = flags[_bucket(token)] == wanted
+                yield pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), pa.array(np.repeat(cls, size)[some]), pa.array((np.repeat(n, size) << 24 | np.minimum(place, (1 << 24) - 1))[some])], ["token", "cls", "size"])
 
         return classes.select("cls", "n", "prefix").mapInArrow(work, "token long, cls long, size long")
 
+    @staticmethod
+    def hot_buckets(classes: DataFrame) -> np.ndarray:
+        """Which buckets of n-grams hold so many postings that one n-gram may be in much of them."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            out = np.zeros(1 << BUCKET_BITS, np.int64)
+            for batch in batches:
+                out += np.bincount(_bucket(_elements(batch.column("prefix").to_pylist())[0]), minlength=len(out))
+            return out
+
+        held = sums_by_chunk(classes.select("prefix"), count, 1 << BUCKET_BITS)
+        return held > max(HOT, HOT_TIMES * held.mean())
+
+    def groups(self, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        """(pairs a, b, size_a, size_b, flip of groups of up to SMALL classes, postings token, cls, size of larger ones)."""
+        hot = self.hot_buckets(classes)
+        cold, members = self.postings(classes, hot, wanted=False), None
+        if hot.any():
+            dealt = self.postings(classes, hot, wanted=True)
+            sizes = scratch(dealt.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
+            few, many = sizes.filter(F.col("held") <= SMALL).select("token"), sizes.filter(F.col("held") > SMALL).select("token")
+            cold = cold.unionByName(dealt.join(_sent(few), "token", "left_semi"))
+            members = dealt.join(_sent(many), "token", "left_semi")
+        got = scratch(self.candidates(cold))
+        large = got.filter("token is not null").select("token", F.col("a").alias("cls"), F.col("size_a").alias("size"))
+        pairs = got.filter("token is null").select("a", "b", "size_a", "size_b", F.lit(False).alias("flip"))
+        return pairs, large if members is None else scratch(large.unionByName(members))
+
     def _pairs(self, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Filtered pairs of columns of rows (token, cls, size), the smaller class first: a, b, n of a, n of b."""
         a, b = rows[:, left], rows[:, right]
@@ -227,65 +300,87 @@ class JaccardJoin:
         return np.stack([a[1], b[1], a[2] >> 24, b[2] >> 24])
 
     def candidates(self, postings: DataFrame) -> DataFrame:
-        """From token, cls, size: pairs of small groups (token null; a, b, size_a, size_b), members of larger ones (token, a, size_a)."""
+        """From token, cls, size: pairs of small groups (token null; a, b, size_a, size_b), members of larger ones (token, a, size_a).
+
+        Groups pass by: of one that goes on in the next batch only up to SMALL rows are kept.
+        """
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _groups(batches, ("token", "cls", "size")):
+            open_rows, open_large = np.zeros((3, 0), np.int64), None
+            for batch in _with_end(batches):
+                rows = open_rows if batch is None else np.concatenate([open_rows, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "cls", "size")])], 1)
+                open_rows = rows[:, :0]
+                if not rows.shape[1]:
+                    continue
                 length, group = _lengths(rows[0])
-                few = (length <= SMALL) & (length > 1)
+                large = length > SMALL
+                if open_large is not None and rows[0, 0] == open_large:
+                    large[0] = True
+                if batch is not None:
+                    if large[-1]:
+                        open_large = rows[0, -1]
+                    else:
+                        # It may go on: kept for the next batch.
+                        open_large, last = None, rows.shape[1] - length[-1]
+                        open_rows, rows, group = rows[:, last:], rows[:, :last], group[:last]
                 out = []
-                some = rows[:, few[group]]
-                inside = group[few[group]]
+                few = (length > 1) & ~large
+                some, inside = rows[:, few[group]], group[few[group]]
                 for gap in range(1, SMALL):
                     left = np.flatnonzero(inside[:-gap] == inside[gap:]) if len(inside) > gap else np.zeros(0, int)
                     if len(left):
                         out.append(self._pairs(some, left, left + gap))
                 if out:
                     yield _pair_batch(out)
-                large = rows[:, (length > SMALL)[group]]
-                if large.shape[1]:
-                    yield _batch(large[0], large[1], None, large[2], None)
+                rest = rows[:, large[group]]
+                if rest.shape[1]:
+                    yield _batch(rest[0], rest[1], None, rest[2], None)
 
         dealt = postings.repartition("token").sortWithinPartitions("token", "size", "cls")
         return dealt.select("token", "cls", "size").mapInArrow(work, PAIRS)
 
-    def stars(self, members: DataFrame) -> DataFrame:
+    def stars(self, members: DataFrame, scratch: Scratch) -> DataFrame:
         """From token, cls, size of larger groups: token, hub, hub_size, cls, size, and whether hub and cls are candidates (ok).
 
         The hub comes from an aggregate that combines before it shuffles; joining it back is a join that can be split.
         """
         fame = members.groupBy("cls").agg(F.count(F.lit(1)).alias("fame"))
         first = F.min_by(F.struct("cls", "size"), F.struct((-F.col("fame")).alias("fame"), F.xxhash64("cls").alias("hash"), "cls"))
-        hubs = durable(members.join(fame, "cls").groupBy("token").agg(first.alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.size").alias("hub_size")))
+        hubs = scratch(members.join(fame, "cls").groupBy("token").agg(first.alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.size").alias("hub_size")))
         n, m = F.shiftright("size", 24), F.shiftright("hub_size", 24)
         place, hub_place = F.col("size").bitwiseAND(F.lit((1 << 24) - 1)), F.col("hub_size").bitwiseAND(F.lit((1 << 24) - 1))
         most = F.least(place, hub_place) + F.least(n - place, m - hub_place)
         ok = (F.col("hub") != F.col("cls")) & (self.den * F.least(n, m) >= self.num * F.greatest(n, m)) & ((self.num + self.den) * most >= self.num * (n + m))
-        return durable(members.join(hubs, "token").withColumn("ok", ok))
+        return scratch(members.join(hubs, "token").withColumn("ok", ok))
 
-    def by_hub(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """Families (hub, low, high, block, cls, n, comp, sketch) of the groups (token, hub, cls, size, comp) that span components.
+    def by_hub(self, members: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+        """hub, r, b, rest, cls, n, comp, sketch: the pairs of blocks to compare of the groups (token, hub, cls, size, comp) that span components.
 
-        A family of more than FAMILY members is dealt over blocks: a task compares one pair of blocks.
+        Block r holds members outside a family's largest component (rest), block b any members; each rest block meets each block.
         """
-        spans = durable(members.groupBy("token", "comp").agg(F.first("hub").alias("hub")).groupBy("token").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token"))
+        spans = members.groupBy("token", "comp").agg(F.first("hub").alias("hub")).groupBy("token").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token")
         rows = members.join(spans, "token", "left_semi").groupBy("hub", "cls").agg(F.first("size").alias("size"), F.first("comp").alias("comp"))
-        rows = durable(rows.select("hub", "cls", F.shiftright("size", 24).alias("n"), "comp"))
-        sizes = rows.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("blocks"))
-        block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-        dealt = rows.join(sizes, "hub").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "n", "comp")
-        return dealt.join(classes.select("cls", "sketch"), "cls")
+        rows = scratch(rows.select("hub", "cls", F.shiftright("size", 24).alias("n"), "comp"))
+        comps = rows.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("held"))
+        every = F.sum("held").alias("every")
+        families = comps.groupBy("hub").agg(F.max(F.struct("held", "comp")).alias("first"), every).select("hub", F.col("first.comp").alias("largest"), F.ceil((F.col("every") - F.col("first.held")) / FAMILY).alias("rests"), F.ceil(F.col("every") / FAMILY).alias("blocks"))
+        placed = rows.join(families, "hub").withColumn("rest", F.col("comp") != F.col("largest")).join(classes.select("cls", "sketch"), "cls")
+        upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        own = lambda c: F.pmod(F.xxhash64("cls"), F.col(c))
+        columns = ["hub", "r", "b", "rest", "cls", "n", "comp", "sketch"]
+        few = placed.filter("rest").withColumn("r", own("rests")).withColumn("b", upto("blocks")).select(columns)
+        all_ = placed.filter("rests > 0").withColumn("rest", F.lit(False)).withColumn("b", own("blocks")).withColumn("r", upto("rests"))
+        return few.unionByName(all_.select(columns))
 
     def families(self, members: DataFrame) -> DataFrame:
-        """From `by_hub`: pairs across components of a hub's members that pass length and suffix filter."""
+        """From `by_hub`: pairs across components that pass length and suffix filter; a pair of two rest members comes from both sides."""
         num, den = self.num, self.den
 
-        def pairs(cls: np.ndarray, n: np.ndarray, comp: np.ndarray, block: np.ndarray, sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
-            """One pair of blocks of a family, sorted by n; two blocks are compared with each other only."""
-            two = len(np.unique(block)) > 1
+        def pairs(rest: np.ndarray, cls: np.ndarray, n: np.ndarray, comp: np.ndarray, sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
+            """One pair of blocks of a family, sorted by n."""
+            others = np.flatnonzero(~rest)
             width = np.array([len(x) for x in sketches])
-            places = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+            places = {w: others[width[others] == w] for w in np.unique(width[others]).tolist()}
             shrunk = {(w, w): np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), w) for w, at in places.items()}
 
             def counts(w: int, to: int) -> np.ndarray:
@@ -295,27 +390,22 @@ class JaccardJoin:
                 return shrunk[w, to]
 
             out, found = [], 0
-            for i in range(len(cls) - 1):
+            for i in np.flatnonzero(rest).tolist():
                 one = np.frombuffer(sketches[i], np.uint8)
-                upto = int(np.searchsorted(num * n, den * n[i], "right"))
                 for w, at in places.items():
-                    a, b = np.searchsorted(at, i + 1), np.searchsorted(at, upto)
+                    sizes = n[at]
+                    a, b = np.searchsorted(den * sizes, num * n[i], "left"), np.searchsorted(num * sizes, den * n[i], "right")
                     if a >= b:
                         continue
-                    least_width = min(w, len(one))
                     same = one
-                    while len(same) > least_width:
+                    while len(same) > w:
                         same = halved(same)
-                    bound = overlap_bounds(same, counts(w, least_width)[a:b])
+                    bound = overlap_bounds(same, counts(w, min(w, len(one)))[a:b])
                     j = at[a:b]
-                    ok = ((num + den) * bound >= num * (n[i] + n[j])) & (comp[j] != comp[i])
-                    if two:
-                        ok &= block[j] != block[i]
-                    if ok.any():
-                        j = j[ok]
-                        least, most = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-                        swap = cls[i] > cls[j]
-                        out.append(np.stack([least, most, np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])]))
+                    j = j[((num + den) * bound >= num * (n[i] + n[j])) & (comp[j] != comp[i])]
+                    if len(j):
+                        flip = cls[i] > cls[j]
+                        out.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.where(flip, n[j], n[i]), np.where(flip, n[i], n[j])]))
                         found += len(j)
                 if found > 100_000:
                     yield _pair_batch(out)
@@ -326,7 +416,7 @@ class JaccardJoin:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, kept = None, []
             for batch in batches:
-                keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "low", "high")])
+                keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "r", "b")])
                 cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(0)) + 1).tolist(), keys.shape[1]]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     if a == b:
@@ -341,62 +431,86 @@ class JaccardJoin:
 
         def family(kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(kept)
-            if rows.column("low")[0] != rows.column("high")[0] and len(rows.column("block").unique()) == 1:
-                return  # the other block is empty
-            yield from pairs(*(rows.column(c).to_numpy() for c in ("cls", "n", "comp", "block")), rows.column("sketch").to_pylist())
+            yield from pairs(*(rows.column(c).to_numpy() for c in ("rest", "cls", "n", "comp")), rows.column("sketch").to_pylist())
 
-        dealt = members.repartition("hub", "low", "high").sortWithinPartitions("hub", "low", "high", "n", "cls")
-        return dealt.select("hub", "low", "high", "block", "cls", "n", "comp", "sketch").mapInArrow(work, PAIRS)
+        dealt = members.repartition("hub", "r", "b").sortWithinPartitions("hub", "r", "b", "n", "cls")
+        return dealt.select("hub", "r", "b", "rest", "cls", "n", "comp", "sketch").mapInArrow(work, PAIRS)
 
     # Steps 4 and 5.
 
-    def verified(self, pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b, size_a, size_b), those that link."""
+    def verified(self, pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+        """Of distinct pairs (a, b, size_a, size_b, flip), those that link. The anchor is b where flip is true, else a."""
         num, den, words = self.num, self.den, self.words
-        side = lambda name: classes.select(F.col("cls").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.col("doc_id").alias(f"doc_{name}"))
+        side = lambda name: classes.select(F.col("cls").alias(name), F.col("sketch").alias(f"sketch_{name}"))
 
         def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x, y, na, nb = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "size_a", "size_b"))
                 ok = [(num + den) * overlap_bound(s, t) >= num * (m + n) for s, t, m, n in zip(x, y, na, nb, strict=True)]
-                yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b", "size_a", "size_b", "doc_a", "doc_b"])
-
-        left = durable(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(suffix, "a long, b long, size_a long, size_b long, doc_a long, doc_b long"))
-        # Sets of the documents that are left; a filter of fixed size spares the others the work.
-        wanted = left.select(F.explode(F.array(F.struct(F.col("a").alias("cls"), F.col("doc_a").alias("doc")), F.struct(F.col("b").alias("cls"), F.col("doc_b").alias("doc")))).alias("x")).select("x.*")
-        bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).cast("int")
-        flags = np.zeros(1 << FILTER_BITS, bool)
-        flags[wanted.select(bit("doc").alias("bit")).distinct().toPandas()["bit"].to_numpy()] = True
-        shared = texts.sparkSession.sparkContext.broadcast(np.packbits(flags))
+                yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b", "flip"])
+
+        left = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(suffix, "a long, b long, flip boolean")
+        anchor = F.when(F.col("flip"), F.col("b")).otherwise(F.col("a"))
+        left = scratch(left.select(anchor.alias("anchor"), F.when(F.col("flip"), F.col("a")).otherwise(F.col("b")).alias("other")))
+        wanted = scratch(left.select(F.explode(F.array("anchor", "other")).alias("cls")).distinct().join(classes.select("cls", "doc_id", *KEY), "cls"))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            some = np.unpackbits(shared.value).astype(bool)
             for batch in batches:
-                batch = batch.filter(pa.array(some[batch.column("bit").to_numpy(zero_copy_only=False)]))  # noqa: PLW2901
                 for _, part in text_slices(batch, "__text"):
                     found = sets(part, words)
-                    digest = [int((mixed(own ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)).astype(np.int64)) for own in found]
-                    yield pa.RecordBatch.from_arrays([pa.array([class_id(d, len(own)) for d, own in zip(digest, found, strict=True)], pa.int64()), pa.array([own.tobytes() for own in found], pa.binary())], ["cls", "own"])
+                    columns = zip(*((len(own), *digests(own)) for own in found), strict=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([own.tobytes() for own in found], pa.binary())], [*KEY, "own"])
             _forget_powers()
 
-        found = texts.select("__text", bit("doc_id").alias("bit")).mapInArrow(whole, "cls long, own binary")
-        found = durable(found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]))
+        found = self._texts_of(wanted, texts).mapInArrow(whole, "n long, d1 long, d2 long, own binary")
+        found = scratch(found.join(wanted.select("cls", *KEY), KEY).dropDuplicates(["cls"]).select("cls", "own"))
+        # One copy of an anchor's set for each block of its partners.
+        blocks = scratch(left.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("blocks")))
+        heads = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(found.withColumnRenamed("cls", "anchor"), "anchor")
+        heads = heads.select("anchor", "block", F.lit(None).cast("long").alias("other"), "own")
+        rest = left.join(blocks, "anchor").withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks"))).join(found.withColumnRenamed("cls", "other"), "other")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            y = np.zeros(0, np.uint64)
             for batch in batches:
-                ok = []
-                for s, t in zip(batch.column("own_a").to_pylist(), batch.column("own_b").to_pylist(), strict=True):
-                    x, y = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
+                a, b = [], []
+                for anchor, other, own in zip(*(batch.column(c).to_pylist() for c in ("anchor", "other", "own")), strict=True):
+                    x = np.frombuffer(own, "<u8")
+                    if other is None:
+                        y = x
+                        continue
                     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    ok.append(den * (overlap := int((y[at] == x).sum())) >= num * (len(x) + len(y) - overlap))
-                yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+                    if den * (overlap := int((y[at] == x).sum())) >= num * (len(x) + len(y) - overlap):
+                        a.append(anchor)
+                        b.append(other)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        together = heads.unionByName(rest.select("anchor", "block", "other", "own")).repartition("anchor", "block")
+        ordered = together.sortWithinPartitions("anchor", "block", F.asc_nulls_first("other"))
+        return scratch(ordered.select("anchor", "other", "own").mapInArrow(check, "a long, b long"))
+
+    @staticmethod
+    def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+        """__text of the rows whose doc_id is wanted, and perhaps of some others."""
+        n = wanted.count()
+        size = (1 << FILTER_BITS) >> max(0, FILTER_BITS - max(10, int(FILTER_TIMES * n).bit_length()))
+        if FILTER_TIMES * n > size:
+            return texts.join(wanted.select("doc_id").distinct().withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("__text")
+        bit = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+        flags = np.zeros(size, bool)
+        flags[wanted.select(bit("doc_id").alias("bit")).distinct().toPandas()["bit"].to_numpy()] = True
+        shared = texts.sparkSession.sparkContext.broadcast(np.packbits(flags))
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            there = np.unpackbits(shared.value).astype(bool)
+            for batch in batches:
+                yield batch.filter(pa.array(there[batch.column("bit").to_numpy(zero_copy_only=False)])).select(["__text"])
 
-        own = lambda name: found.select(F.col("cls").alias(name), F.col("own").alias(f"own_{name}"))
-        return durable(left.select("a", "b").join(own("a"), "a").join(own("b"), "b").mapInArrow(check, "a long, b long"))
+        return texts.select("__text", bit("doc_id").alias("bit")).mapInArrow(some, "__text string")
 
     @staticmethod
     def _distinct(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+        return pairs.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.first("flip").alias("flip"))
 
     # All steps.
 
@@ -405,9 +519,9 @@ class JaccardJoin:
         signed, named = self.linked(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("__text")))
         # The component's name: its smallest doc_id.
         smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        of_class = durable(named.join(smallest, "comp").select("cls", "component_id"))
+        of_class = durable(named.join(smallest, "comp").select(*KEY, "component_id"))
         # Copies are joined to their class; a class with very many copies is split as a skewed join.
-        found = signed.select("doc_id", "n", "cls").join(of_class, "cls", "left")
+        found = signed.select("doc_id", *KEY).join(of_class, KEY, "left")
         return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
     def survivors(self, docs: DataFrame, marks: dict[str, Column], text_col: str = "text", key: str = "doc_id") -> DataFrame:
@@ -419,37 +533,41 @@ class JaccardJoin:
         there = signed.filter("doc_id is not null")
         least = F.min(F.struct("doc_id", *marks)).alias("least")
         # First within classes: a class has any number of copies.
-        worded = there.filter("n > 0").groupBy("cls").agg(least).join(named.select("cls", "comp"), "cls").groupBy("comp").agg(F.min("least").alias("least"))
+        worded = there.filter("n > 0").groupBy(*KEY).agg(least).join(named.select(*KEY, "comp"), KEY).groupBy("comp").agg(F.min("least").alias("least"))
         wordless = there.filter("n = 0").groupBy("doc_id").agg(least)
         return worded.select("least.*").unionByName(wordless.select("least.*"))
 
     def linked(self, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(signatures with each row's class, (cls, doc_id, comp): each class's smallest doc_id and the component it is in)."""
-        signed = durable(self.signatures(texts, self.frequencies(texts)).withColumn("cls", F.xxhash64("digest", "n")))
-        classes = durable(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
-        got = durable(self.candidates(self.postings(classes)))
-        pairs = got.filter("token is null").select("a", "b", "size_a", "size_b")
-        large = got.filter("token is not null").select("token", F.col("a").alias("cls"), F.col("size_a").alias("size"))
+        """(signatures of all rows, (n, d1, d2, doc_id, comp): each class, its smallest doc_id and the component it is in)."""
+        scratch = Scratch()
+        made = scratch(self.signatures(texts, self.frequencies(texts)))
+        least = made.filter("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+        # Numbers given once, when the table is written: no two classes share one.
+        classes = scratch(least.withColumn("cls", F.monotonically_increasing_id()))
+        signed = durable(made.drop("prefix", "sketch"))
+        pairs, large = self.groups(classes, scratch)
         grouped = not large.isEmpty()
         if grouped:
-            starred = self.stars(large)
+            starred = self.stars(large, scratch)
             hub, other, n, m = F.col("hub"), F.col("cls"), F.shiftright("size", 24), F.shiftright("hub_size", 24)
-            star = starred.filter("ok").select(F.least(hub, other).alias("a"), F.greatest(hub, other).alias("b"), F.when(hub < other, m).otherwise(n).alias("size_a"), F.when(hub < other, n).otherwise(m).alias("size_b"))
+            star = starred.filter("ok").select(F.least(hub, other).alias("a"), F.greatest(hub, other).alias("b"), F.when(hub < other, m).otherwise(n).alias("size_a"), F.when(hub < other, n).otherwise(m).alias("size_b"), (hub > other).alias("flip"))
             pairs = pairs.unionByName(star)
-        pairs = durable(self._distinct(pairs))
-        links = self.verified(pairs, classes, texts)
-        label = connected(links)
+        pairs = scratch(self._distinct(pairs))
+        links = self.verified(pairs, classes, texts, scratch)
+        label = connected(links, scratch)
         if grouped:
             members = starred.join(label.withColumnsRenamed({"id": "cls"}), "cls", "left").select("token", "hub", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
-            new = self._distinct(self.families(self.by_hub(members, classes)))
-            new = durable(new.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+            new = self.families(self.by_hub(members, classes, scratch)).withColumn("flip", F.lit(False))
+            new = scratch(self._distinct(new).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
             if not new.isEmpty():
-                links = links.unionByName(self.verified(new, classes, texts))
-                label = connected(links)
-        named = durable(classes.select("cls", "doc_id").join(label.withColumnsRenamed({"id": "cls"}), "cls", "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp")))
+                links = links.unionByName(self.verified(new, classes, texts, scratch))
+                label = connected(links, scratch)
+        named = durable(classes.select(*KEY, "cls", "doc_id").join(label.withColumnsRenamed({"id": "cls"}), "cls", "left").select(*KEY, "doc_id", F.coalesce("comp", "cls").alias("comp")))
+        scratch.clear()
         return signed, named
 
 
+KEY = ["n", "d1", "d2"]
 PAIRS = "token long, a long, b long, size_a long, size_b long"
 
 
@@ -474,40 +592,24 @@ def _lengths(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return length, np.repeat(np.arange(len(length)), length)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[np.ndarray]:
-    """Columns as rows of an array, cut so that no group of equal first values is divided."""
-    kept: list[np.ndarray] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
-        end = int(np.flatnonzero(rows[0] == rows[0, -1])[0])  # the last group may go on
-        if kept and (end or kept[-1][0, -1] != rows[0, 0]):
-            yield np.concatenate([*kept, rows[:, :end]], 1)
-            kept = []
-        elif end:
-            yield rows[:, :end]
-        kept.append(rows[:, end:])
-    if kept:
-        yield np.concatenate(kept, 1)
-
-
-def class_id(digest: int, n: int) -> int:
-    """What xxhash64(digest, n) of two longs gives in SQL."""
-    return _xx_long(n, _xx_long(digest, 42))
-
-
-def _xx_long(value: int, seed: int) -> int:
-    m = (1 << 64) - 1
-    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
-    turn = lambda x, k: (x << k | x >> 64 - k) & m
-    h = (seed + p5 + 8) & m
-    h ^= turn((value & m) * p2 & m, 31) * p1 & m
-    h = (turn(h, 27) * p1 + p4) & m
-    h = ((h ^ h >> 33) * p2) & m
-    h = ((h ^ h >> 29) * p3) & m
-    h ^= h >> 32
-    return h - (1 << 64) if h >> 63 else h
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches that have rows, then None."""
+    yield from (batch for batch in batches if batch.num_rows)
+    yield None
+
+
+def _elements(prefixes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(elements of all prefixes, how many each has)."""
+    return np.frombuffer(b"".join(prefixes), "<u8"), np.array([len(p) // 8 for p in prefixes], np.int64)
+
+
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> _U(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _sent(few: DataFrame) -> DataFrame:
+    """A written table, to be sent to all tasks if it is small enough; else it is joined by a shuffle, split where skewed."""
+    return F.broadcast(few) if few.count() <= SENT_ROWS else few
 
 
 def _jumped(parent: DataFrame) -> DataFrame:
@@ -516,20 +618,20 @@ def _jumped(parent: DataFrame) -> DataFrame:
     return parent.join(upper, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.coalesce("next", "up") != F.col("up")).alias("moved"))
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id and comp (the smallest id of its component) of each node of undirected edges a, b."""
-    edges = durable(edges.select("a", "b").filter("a <> b").distinct())
-    label = durable(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id")))
+    edges = scratch(edges.select("a", "b").filter("a <> b").distinct())
+    label = scratch(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id")))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
+        parent = scratch(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
         while True:
             twice = _jumped(parent)
-            jumped = durable(_jumped(twice.select("id", "up")))
+            jumped = scratch(_jumped(twice.select("id", "up")))
             parent = jumped.select("id", "up")
             if jumped.filter("moved").isEmpty():
                 break
-        label = durable(label.join(parent.select(F.col("id").alias("comp"), "up"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")))
+        label = scratch(label.join(parent.select(F.col("id").alias("comp"), "up"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")))
         up = lambda name: parent.select(F.col("id").alias(name), F.col("up").alias(f"up_{name}"))
-        edges = durable(edges.join(up("a"), "a").join(up("b"), "b").filter("up_a <> up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+        edges = scratch(edges.join(up("a"), "a").join(up("b"), "b").filter("up_a <> up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
     return label

@@ -10,7 +10,7 @@ import pytest
 
 from sluicebox.llm import ann, gam, jaccard, mtree, ppm
 from sluicebox.llm import queries as q
-from sluicebox.llm.common import durable
+from sluicebox.llm.common import Scratch, durable
 
 
 def brute_components(docs: list[tuple[int | None, str | None]], words: int = 5, num: int = 80, den: int = 100) -> dict:
@@ -61,14 +61,61 @@ def test_components_are_those_of_all_pairs(spark, seed, families, members, lengt
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(docs)
 
 
-def test_small_groups_and_stars_agree(spark, monkeypatch):
-    docs = near_copies(7, 6, 20, 50, 4)
-    monkeypatch.setattr(jaccard, "SMALL", 2)
-    monkeypatch.setattr(jaccard, "FAMILY", 5)
-    got = jaccard.JaccardJoin().components(spark.createDataFrame(docs, "doc_id long, text string"))
+def outlier(words: int, every: int, n: int, first: int) -> list[tuple[int, str]]:
+    """Near copies of one text, and one that shares its beginning only."""
+    base = [f"v{i}" for i in range(words)]
+    return [(first + k, " ".join([*base[: k % every + 3], f"x{k}", *base[k % every + 4 :]])) for k in range(n)] + [(first + n, " ".join(base[: words // 2] + [f"z{i}" for i in range(words)]))]
+
+
+@pytest.mark.parametrize("limits", [{"SMALL": 2, "FAMILY": 5}, {"SMALL": 2, "FAMILY": 4, "HOT": 1, "HOT_TIMES": 0}, {"SMALL": 3, "HOT": 3, "HOT_TIMES": 0, "SENT_ROWS": 0, "FILTER_TIMES": 1 << 40}, {"LONG": 40, "LONG_WORDS": 7, "SMALL": 2, "FAMILY": 1}])
+def test_limits_change_no_links(spark, monkeypatch, limits):
+    docs = [*near_copies(7, 6, 20, 50, 4), *outlier(60, 50, 40, 3000), *outlier(30, 20, 9, 4000), (5000, None), (5001, "a"), (5002, "A \t")]
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, cls string, n long").repartition(5)
+    got = jaccard.JaccardJoin().components(rows)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(docs)
 
 
+def test_one_that_differs_costs_as_many_comparisons_as_there_are_others(spark):
+    """Members of one component aren't compared with each other, nor sent to more than one block."""
+    from pyspark.sql import functions as F
+
+    join, n = jaccard.JaccardJoin(), 500
+    members = spark.range(n).select(F.lit(1).cast("long").alias("token"), F.lit(0).cast("long").alias("hub"), F.col("id").alias("cls"), F.lit(100 << 24).cast("long").alias("size"), F.when(F.col("id") == 7, 7).otherwise(0).cast("long").alias("comp"))
+    classes = spark.range(n).select(F.col("id").alias("cls"), F.lit(bytes(64)).alias("sketch"))
+    dealt = join.by_hub(members, classes, Scratch()).groupBy("rest").count().collect()
+    assert {r["rest"]: r["count"] for r in dealt} == {True: 1, False: n}
+
+
+def test_groups_pass_by_in_batches_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    token = np.sort(np.repeat(np.arange(60), rng.integers(1, 30, 60)))
+    rows = [(int(t), i, 100 << 24) for i, t in enumerate(token)]
+    found = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = jaccard.JaccardJoin().candidates(spark.createDataFrame(rows, "token long, cls long, size long")).collect()
+            found.append((sorted({(r["a"], r["b"]) for r in got if r["token"] is None}), sorted((r["token"], r["a"]) for r in got if r["token"] is not None)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    held = {t: [i for i, x in enumerate(token) if x == t] for t in set(token.tolist())}
+    assert found[0] == found[1] == found[2]
+    assert found[0][0] == sorted((a, b) for g in held.values() if len(g) <= jaccard.SMALL for a in g for b in g if a < b)
+    assert found[0][1] == sorted((t, i) for t, g in held.items() if len(g) > jaccard.SMALL for i in g)
+
+
+def test_long_texts_have_the_same_sets(monkeypatch):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(["Ab", "cd ", "é", "\t", "x\n", "yz "]) for _ in range(n)) for n in (0, 3, 40, 900, 2500)]
+    want = [s.tolist() for s in jaccard.sets(texts)]
+    monkeypatch.setattr(jaccard, "LONG", 100)
+    monkeypatch.setattr(jaccard, "LONG_WORDS", 13)
+    assert [s.tolist() for s in jaccard.sets(texts)] == want
+
+
 def test_join_of_nothing_and_repeats(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.JaccardJoin().components(empty).count() == 0
@@ -95,17 +142,15 @@ def test_overlap_bound_never_falls_short():
     assert jaccard.overlap_bound(jaccard.sketch(crowded), jaccard.sketch(crowded)) >= 1000
 
 
-def test_class_ids_are_those_of_sql(spark):
-    from pyspark.sql import functions as F
-
-    pairs = [(0, 0), (-5, 7), (1 << 62, 123456), (-(1 << 63), 1)]
-    got = spark.createDataFrame(pairs, "digest long, n long").select("digest", "n", F.xxhash64("digest", "n").alias("x")).collect()
-    assert all(jaccard.class_id(r["digest"], r["n"]) == r["x"] for r in got)
+def test_digests_tell_sets_apart():
+    own = np.arange(1, 50, dtype=np.uint64)
+    assert len({jaccard.digests(own[:n]) for n in range(50)}) == 50
+    assert jaccard.digests(own)[0] != jaccard.digests(own)[1]
 
 
 def test_chains_connect(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r["id"]: r["comp"] for r in jaccard.connected(edges).collect()}
+    got = {r["id"]: r["comp"] for r in jaccard.connected(edges, Scratch()).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
