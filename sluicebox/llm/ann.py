@@ -171,7 +171,7 @@ def nearest(df: DataFrame, query: str | None, k: int = 20, recall: float = 0.97,
         ids, o, turned, prefix = pickle.loads(content)
         return scan(query_ids, q, (q @ turn).astype(np.float32), ids, o.astype(float), turned, prefix, reach, k)[:3]
 
-    asked = durable(cells.select("vec_id", "vec").filter(F.expr(query) if query else F.lit(True)).dropDuplicates(["vec_id"]))
+    asked = durable(cells.select("vec_id", "vec").filter(F.expr(query) if query else F.lit(True)))
     lists = durable(vectors.packed_pages(cells, length, pages, build))
     # The nearest lists first: their k-th best score bounds what the others need to give.
     first = max(1, probes // 8)

@@ -1,12 +1,11 @@
 """What both searches share: which vectors take part, cells around sampled vectors, pages of bounded size, blocks of queries.
 
-Vectors live in cells (nearest of at most MAX_CELLS sampled centres) and a cell is dealt over as many pages as its
-row count asks for, so a page is bounded even if a third of all vectors are alike. Queries come in blocks; a
-block is sent to the pages it must look at, once for all its queries. Pages give their best rows per query, and the best of
-those are the answer.
+Vectors live in cells (nearest of sampled centres) and a cell is dealt over as many pages as its row count asks for, so a
+page is bounded even if a third of all vectors are alike. Pages give their best rows per query, and the best of those are the answer.
 
 A vector takes part if it has no null or non-finite component and the table's most common length (the longer of
-equally common ones). Rows that repeat a vec_id count as one row within a page, and once in an answer.
+equally common ones). Rows that repeat a vec_id count as one row: of different vectors under one vec_id the least counts (by its
+components, in order). An empty table, or one in which no vector takes part, gives no rows. Only the two columns named are read.
 """
 
 from __future__ import annotations
@@ -36,7 +35,12 @@ def taking_part(df: DataFrame, id_col: str, vector_col: str, non_zero: bool = Fa
     lengths = rows.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).limit(1).collect()
     if not lengths:
         return rows, 0, 0
-    return rows.filter(F.size("vec") == lengths[0]["length"]), lengths[0]["count"], lengths[0]["length"]
+    length = lengths[0]["length"]
+    rows = rows.filter(F.size("vec") == length)
+    n = rows.select("vec_id").distinct().count()
+    if n < lengths[0]["count"]:  # only then are vectors moved
+        rows = rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return rows, n, length
 
 
 def sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +66,7 @@ def in_cells(rows: DataFrame, length: int, place: Callable[[np.ndarray], tuple[n
 
 
 def page_layout(cells: DataFrame, page_rows: int = PAGE_ROWS) -> tuple[dict[int, range], dict[int, float]]:
-    """(pages of each cell, largest distance from each cell's centre)."""
+    """(pages of each cell, largest distance from each cell's centre): as many rows as there are centres."""
     pages, spread, at = {}, {}, 0
     for cell, n, far in cells.groupBy("cell").agg(F.count(F.lit(1)), F.max("spread")).orderBy("cell").collect():
         pages[cell] = range(at, at := at + -(-n // page_rows))
@@ -72,8 +76,9 @@ def page_layout(cells: DataFrame, page_rows: int = PAGE_ROWS) -> tuple[dict[int,
 
 def packed_pages(cells: DataFrame, length: int, pages: dict[int, range], build: Callable[[np.ndarray, np.ndarray], bytes]) -> DataFrame:
     """page and the bytes that build(ids, vectors) makes of its rows."""
-    table = F.create_map(*(F.lit(x) for cell, p in pages.items() for x in (cell, p.start))), F.create_map(*(F.lit(x) for cell, p in pages.items() for x in (cell, len(p))))
-    page = (table[0][F.col("cell")] + F.pmod(F.xxhash64("vec_id", F.lit(37)), table[1][F.col("cell")])).cast("long")
+    # A row for each cell: as many as there are centres.
+    layout = F.broadcast(cells.sparkSession.createDataFrame([(c, p.start, len(p)) for c, p in pages.items()], "cell long, first long, held long"))
+    page = (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(37)), F.col("held"))).cast("long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -97,7 +102,7 @@ def packed_pages(cells: DataFrame, length: int, pages: dict[int, range], build:
         if kept:
             yield done()
 
-    dealt = cells.select(page.alias("page"), "vec_id", "vec").repartition("page").sortWithinPartitions("page", "vec_id")
+    dealt = cells.join(layout, "cell").select(page.alias("page"), "vec_id", "vec").repartition("page").sortWithinPartitions("page", "vec_id")
     return dealt.mapInArrow(work, "page long, content binary")
 
 

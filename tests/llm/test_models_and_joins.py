@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluicebox.llm import ann, gam, jaccard, mtree, ppm
 from sluicebox.llm import queries as q
@@ -79,8 +80,6 @@ def test_limits_change_no_links(spark, monkeypatch, limits):
 
 def test_one_that_differs_costs_as_many_comparisons_as_there_are_others(spark):
     """Members of one component aren't compared with each other, nor sent to more than one block."""
-    from pyspark.sql import functions as F
-
     join, n = jaccard.JaccardJoin(), 500
     members = spark.range(n).select(F.lit(1).cast("long").alias("token"), F.lit(0).cast("long").alias("hub"), F.col("id").alias("cls"), F.lit(100 << 24).cast("long").alias("size"), F.when(F.col("id") == 7, 7).otherwise(0).cast("long").alias("comp"))
     classes = spark.range(n).select(F.col("id").alias("cls"), F.lit(bytes(64)).alias("sketch"))
@@ -166,34 +165,83 @@ def embeddings(n: int, seed: int) -> list[tuple[int, list | None]]:
     return [*rows, (n, None), (n + 1, [math.nan] * 12), (n + 2, [1.0, None] + [0.0] * 10), (n + 3, [1.0, 2.0]), (n + 4, [math.inf] * 12), (n + 5, [0.0] * 12)]
 
 
-def test_exact_search_is_brute_force(spark):
-    rows = embeddings(1500, 1)
+def exact(rows, queries, k):
+    """(rank, vec_id, score) by query, of all pairs."""
+    ids = np.array([i for i, v in rows if v and len(v) == 12 and None not in v and all(map(math.isfinite, v))])
+    vec = dict(rows)
+    x = np.floor(256 * np.array([vec[i] for i in ids.tolist()], "f4").astype(float))
+    out = {}
+    for at, i in enumerate(ids.tolist()):
+        if queries(i):
+            s = x @ x[at]
+            s[at] = -np.inf
+            out[i] = [(r + 1, int(ids[b]), int(s[b])) for r, b in enumerate(np.lexsort((ids, -s))[: min(k, len(ids) - 1)])]
+    return out
+
+
+@pytest.mark.parametrize(("n", "limits"), [(1500, {}), (1500, {"BLOCK": 4, "GROUPS": 3, "NODE": 4}), (40, {"MAX_CENTRES": 3})])
+def test_exact_search_is_brute_force(spark, monkeypatch, n, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(mtree, name, value)
+    monkeypatch.setattr(mtree.vectors, "PAGE_ROWS", 64)
+    rows = embeddings(n, 1)
     got: dict[int, list] = {}
-    for r in mtree.top_k(vectors(spark, rows), "vec_id % 50 = 0", 5).collect():
+    for r in mtree.top_k(vectors(spark, rows).withColumn("cell", F.lit("x")).withColumn("vec", F.lit(1)).repartition(3), "vec_id % 50 = 0", 5).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    ids = np.array([i for i, v in rows if v and len(v) == 12 and None not in v and all(map(math.isfinite, v))])
-    x = np.floor(256 * np.array([rows[i][1] for i in ids], "f4").astype(float))
-    assert set(got) == {i for i in ids.tolist() if i % 50 == 0}
-    for i, found in got.items():
-        s = x @ x[ids.tolist().index(i)]
-        s[ids == i] = -np.inf
-        best = np.lexsort((ids, -s))[:5]
-        assert sorted(found) == [(r + 1, int(ids[b]), int(s[b])) for r, b in enumerate(best)]
+    assert {i: sorted(x) for i, x in got.items()} == exact(rows, lambda i: i % 50 == 0, 5)
+
+
+def test_rows_of_the_search_grow_with_queries(spark, monkeypatch):
+    """Not with queries times pages."""
+    rows = embeddings(1200, 3)
+    seen = []
+    best = mtree.vectors.best
+    monkeypatch.setattr(mtree.vectors, "best", lambda found, k: (seen.append(found), best(found, k))[1])
+    monkeypatch.setattr(mtree, "GROUPS", 2)
+    assert mtree.top_k(vectors(spark, rows), "vec_id % 50 = 0", 5).count() == 24 * 5
+    assert seen[0].count() <= 24 * 5 * 2
 
 
 def test_tree_avoids_distances_where_data_is_clustered():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 16)) * 500
     x = np.floor(np.concatenate([c + rng.normal(size=(100, 16)) * 10 for c in centres]))
+    x[50:80] = x[50]  # alike: their distances are 0 but for rounding
     longest = float((x * x).sum(1).max())
     tree = mtree.MTree(np.arange(len(x)), x, longest)
     asked = np.arange(0, len(x), 40)
-    query, found, score, computed = tree.search(asked, x[asked], 5, np.full(len(asked), np.inf))
-    assert computed < 0.7 * len(asked) * len(x)
-    for i in asked:
+    best, best_id, reach = np.full((len(asked), 5), -np.inf), np.full((len(asked), 5), 1 << 62), np.full(len(asked), np.inf)
+    assert tree.search(asked, x[asked], best, best_id, reach) < 0.7 * len(asked) * len(x)
+    for k, i in enumerate(asked):
+        s = x @ x[i]
+        s[i] = -np.inf
+        top = np.lexsort((np.arange(len(x)), -s))[:5]
+        assert best[k].tolist() == s[top].tolist()
+        assert best_id[k].tolist() == top.tolist()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1 << 12, 1 << 22])
+def test_ties_are_found_at_any_scale(spark, scale):
+    """Rounded distances of equal and of long vectors prune nothing that ties."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(6, 12))
+    rows = [(i, base[i % 6].tolist()) for i in range(240)]
+    x = np.floor(scale * np.array([v for _, v in rows]))
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 40 = 0", 7, scale).toPandas()
+    for i in range(0, 240, 40):
         s = x @ x[i]
         s[i] = -np.inf
-        assert sorted(score[query == i], reverse=True) == sorted(s, reverse=True)[:5]
+        own = got[got["query_id"] == i].sort_values("rank")
+        assert own["vec_id"].tolist() == np.lexsort((np.arange(240), -s))[:7].tolist()
+    with pytest.raises(ValueError, match="exact"):
+        mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), None, 1, 2.0**30)
+
+
+def test_repeated_ids_count_once_with_their_least_vector(spark):
+    rows = vectors(spark, [(0, [1.0, 0.0]), (1, [0.5, 9.0]), (1, [0.5, 0.5]), (1, [0.75, 0.0]), (2, [0.25, 1.0])]).repartition(4)
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in mtree.top_k(rows, "vec_id = 0", 5, 4.0).orderBy("rank").collect()] == [(1, 1, 8), (2, 2, 4)]
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(rows, "vec_id = 0").orderBy("rank").collect()] == [(1, 1, 0.5), (2, 2, 0.25)]
+    assert mtree.top_k(rows.filter("vec_id > 9"), None).count() == ann.nearest(rows.filter("vec_id > 9"), None).count() == 0
 
 
 def test_searches_of_little(spark):
