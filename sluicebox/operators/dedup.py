@@ -35,7 +35,7 @@ def duplicate_counts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def first_passing(verdicts: DataFrame, key: str, rank: str, rate: str, enough: float = 1.0) -> DataFrame:
-    """key, selected_rank (null: none passes), attempted: candidates up to the first that passes, else all."""
+    """key, selected_rank (null: none passes), attempted: candidates up to the first that passes, else all that have a verdict."""
     passed = F.col(rate) >= enough
     out = verdicts.groupBy(key).agg(F.min(F.when(passed, F.col(rank))).alias("selected_rank"), F.count(F.lit(1)).alias("__all"))
     return out.select(key, "selected_rank", F.coalesce(F.col("selected_rank") + 1, F.col("__all")).cast("long").alias("attempted"))

@@ -108,7 +108,7 @@ truth(
 
 # Arrow-batched.
 
-_extract = py.column(py.extract_code, "string")
+_extract = py.column(py.extract_code, "string", nulls=True)
 truth(
     "extract_code",
     [
@@ -153,7 +153,7 @@ truth(
     [{"names": "add"}, {"names": "a,add,b"}, {"names": ""}, {"names": ""}],
     lambda rows: rows.select("doc_id", _functions("code").alias("names")),
 )
-_static = py.column(py.static_validity, "double")
+_static = py.column(py.static_validity, "double", nulls=True)
 truth(
     "static_validity",
     [
@@ -207,7 +207,7 @@ truth(
     [{"code": "def add(a, b):\n    # sum of both\n    return a + b", "n": 1}, {"code": f"# {py.DEFAULT_COMMENT}\n{ADD}", "n": 1}, {"code": BROKEN, "n": 0}, {"code": "", "n": 0}],
     lambda rows: rows.select("doc_id", _inject("code", "plan").alias("x")).select("doc_id", "x.code", "x.n"),
 )
-_list = py.column(lambda text: json.dumps(py.as_list(text)), "string")
+_list = py.column(lambda text: json.dumps(py.as_list(text)), "string", nulls=True)
 truth(
     "as_list",
     [{"text": "['a', 'b']"}, {"text": '["a", null]'}, {"text": "plain"}, {"text": "  "}, {"text": None}, {"text": "{'a': 1}"}],
@@ -224,7 +224,7 @@ truth(
     lambda rows: rows.select("doc_id", _judged("text").alias("x")).select("doc_id", "x.winner", "x.score_a", "x.score_b"),
 )
 _BODY = ["read the numbers from the input and keep all of them in a list", "sort that list once, then walk over neighbouring pairs quickly", "print the smallest difference that was seen during this walk"]
-_contract = py.column(py.contract_score, "double")
+_contract = py.column(py.contract_score, "double", nulls=True)
 truth(
     "contract_score",
     [{"text": None}, {"text": "short"}, {"text": "## A\n" + _BODY[0] + "\n## B\n" + _BODY[1] + "\n## C\n" + _BODY[2] + "\n" + _block("a = 1\nb = 2\n# no\nprint(a)") + "O(n) 因为 所以 因此 注意 关键"}, {"text": "## A\n" + _BODY[0] + "\n## B\n" + _BODY[0] + "\n" + _block("x = 1")}, {"text": "## A\nempty\n## B\nempty"}],
@@ -285,7 +285,7 @@ def _references(rows):  # noqa: ANN001, ANN202
 
     lists = rows.withColumn("solutions", F.from_json("solutions", "array<string>"))
     ranked = candidates.rank_candidates(lists, "doc_id", "solutions").join(rows.select("doc_id", "cases", "io_mode", "fn_name"), "doc_id")
-    chosen = first_passing(verify.verify(ranked, timeout=2.0), "doc_id", "rank", "pass_rate")
+    chosen = first_passing(verify.verify_in_waves(ranked, "doc_id", timeout=2.0), "doc_id", "rank", "pass_rate")
     return chosen.select("doc_id", c("selected_rank").cast("long").alias("selected_rank"), "attempted")
 
 
