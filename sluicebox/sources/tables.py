@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -70,6 +71,26 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def keyed_lines(spark: SparkSession, path: str, schema: str, key: str = "problem_id", repeated: str = "last") -> DataFrame:
+    """Objects of JSON lines by their key; a file that isn't there has none. A bad line, or one without a key, fails the read.
+
+    repeated: of lines with one key the last counts (by file name, then place), or, with "error", there must be none.
+    """
+    if repeated not in ("last", "error"):
+        raise ValueError(f"repeated is last or error, not {repeated}")
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    # A task reads a block of a file from its beginning to its end.
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__place")
+    rows = lines.select(place, F.from_json("value", schema, {"mode": "FAILFAST"}).alias("__row"))
+    no_key = F.coalesce(F.col(f"__row.{key}").cast("string"), F.lit("")) == ""
+    rows = rows.withColumn("__key", F.when(no_key, F.raise_error(F.concat(F.lit(f"a line without {key}: "), F.to_json("__row"))).cast("string")).otherwise(F.col(f"__row.{key}").cast("string")))
+    if repeated == "error":
+        return unique(rows.select("__row.*"), key)
+    return rows.groupBy("__key").agg(F.max_by("__row", "__place").alias("__row")).select("__row.*")
+
+
 def unique(rows: DataFrame, key: str) -> DataFrame:
     """The rows; an error if a key occurs twice."""
     twice = rows.groupBy(key).count().filter("count > 1").limit(5).collect()
@@ -114,6 +135,20 @@ def generations(rows: DataFrame, variant: str) -> DataFrame:
     return unique(rows, "problem_id")
 
 
+def imported_generations(rows: DataFrame, variant: str) -> tuple[DataFrame, DataFrame]:
+    """(problem_id and text of another system's answers, the names of the protocols they followed, each once).
+
+    The id may be called id, the text answer, a missing variant is the one expected; an error names what is missing, empty, of another
+    variant or twice there.
+    """
+    said = lambda *names: F.trim(F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in names if c in rows.columns), F.lit("")))
+    rows = rows.select(said("problem_id", "id").alias("problem_id"), said("text", "answer").alias("text"), F.coalesce(F.nullif(said("variant"), F.lit("")), F.lit(variant)).alias("variant"), said("protocol_name").alias("protocol"))
+    bad = rows.agg(F.count_if(F.col("problem_id") == "").alias("no_id"), F.count_if(F.col("text") == "").alias("empty"), F.count_if(F.col("variant") != variant).alias("other")).first()
+    if any(bad):
+        raise ValueError(f"{bad['no_id']} rows without an id, {bad['empty']} empty texts, {bad['other']} rows of other variants")
+    return unique(rows, "problem_id").select("problem_id", "text"), rows.filter("protocol <> ''").select("protocol").distinct()
+
+
 def inspect_tasks(rows: DataFrame, keys: tuple[str, ...] = TASK_KEYS, key: str = "task_id", first: int = 5) -> dict:
     """Row count, unique ids, and the first rows (by id) that lack a required key."""
     have = [c for c in keys if c in rows.columns]
@@ -165,8 +200,18 @@ def write_exactly_once(rows: DataFrame, path: str) -> None:
         raise ValueError(f"frozen table differs: {path}")
 
 
-def write_json(value: object, path: str) -> None:
-    """A small JSON file on the driver, replaced as a whole."""
+def write_bank(rows: DataFrame, path: str, codec: str = "gzip") -> None:
+    """A bank of source records as compressed JSON lines. Text can't be written with zstd here; a bank for this engine alone is better a parquet table."""
+    rows.write.option("compression", codec).json(path)
+
+
+def read_bank(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a bank of JSON lines, plain or compressed as the files' names say; a bad line fails the read."""
+    return json_lines(spark, path, schema)
+
+
+def write_json(value: object, path: str, tries: int = 5, pause: float = 0.05) -> None:
+    """A small JSON file on the driver, replaced as a whole; where another process holds the file, tried again after longer and longer pauses."""
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
@@ -175,7 +220,15 @@ def write_json(value: object, path: str) -> None:
         file.write("\n")
         file.flush()
         os.fsync(file.fileno())
-    os.replace(name, target)
+    for n in range(tries):
+        try:
+            os.replace(name, target)
+            return
+        except PermissionError:
+            if n == tries - 1:
+                os.unlink(name)
+                raise
+            time.sleep(pause * 2**n)
 
 
 def id_file(ids: DataFrame, seed: int, parent: str) -> DataFrame:
