@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_html
-from ..operators import dedup, freeze, sampling
+from ..operators import dedup, freeze, overlap, sampling
 from ..operators.candidates import seed_categories
 from ..sources import tables
 from ..streaming import resume
@@ -15,10 +15,11 @@ from .registry import query
 L = "long"
 
 
-@query("src_provenance", "select count(*) as n_rows, 0::bigint as first_index, count(*) - 1 as last_index, count(*) as distinct_indexes from documents")
+@query("src_provenance", "select doc_id, row_number() over () - 1 as row_in_file, row_number() over () - 1 as global_index from documents")
 def provenance(spark, sf_dir):
+    """Place in the file and over all files; the tables have one file each, read in its order."""
     rows = tables.with_provenance(fx.table(spark, sf_dir, "documents"))
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.min("global_index").alias("first_index"), F.max("global_index").alias("last_index"), F.countDistinct("global_index").alias("distinct_indexes"))
+    return rows.select("doc_id", F.col("row_in_file").cast(L).alias("row_in_file"), F.col("global_index").cast(L).alias("global_index"))
 
 
 @query("src_column_pruned", "select doc_id, n_chars from documents where doc_id in (select doc_id from labels where toxic = 1)")
@@ -186,24 +187,7 @@ def split_materialize(spark, sf_dir):
 
 @query("join_overlap_contains", "select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)")
 def overlap_contains(spark, sf_dir):
-    """Documents that hold a whole benchmark text: joined on the item's first words, then compared, never all pairs.
-
-    A word starts after a space, so the four words of an item that follow its first space stand whole in each document that holds it.
-    Items of fewer words are compared by the parts they have: they are few and are checked against each text in one pass.
-    """
-    n = 4
-    words = lambda x: F.split(x, " ")
-    key_at = lambda w, i: F.xxhash64(*(F.get(w, F.lit(i + k)) for k in range(n)))
-    items = fx.table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("item"))
-    long_items = items.filter(F.size(words(F.col("item"))) >= n + 2).withColumn("key", key_at(words(F.col("item")), 1))
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    w = words(F.col("text"))
-    runs = F.arrays_zip(*(F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - n + 1, F.lit(0))).alias(str(k)) for k in range(n)))
-    keys = F.array_distinct(F.transform(runs, lambda r: F.xxhash64(*(r[str(k)] for k in range(n)))))
-    found = docs.select("doc_id", F.explode(keys).alias("key")).join(long_items.select("key", "item_id", "item"), "key").select("doc_id", "item_id", "item").distinct().join(docs, "doc_id").filter(F.contains("text", "item"))
-    short = items.filter(F.size(words(F.col("item"))) < n + 2)
-    rest = docs.join(short, F.contains("text", "item"))
-    return found.select("doc_id", "item_id").unionByName(rest.select("doc_id", "item_id"))
+    return overlap.contained(fx.table(spark, sf_dir, "documents"), "doc_id", "text", fx.table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 #: Categories of seeds by tag.
@@ -215,11 +199,22 @@ ALIASES = {
 }
 
 
-@query("join_seed_by_tag", """select doc_id, case doc_id % 4 when 0 then 'array,dp' when 1 then 'dfs_bfs' when 2 then '' else 'hash,string' end as categories from documents""")
-def seed_by_tag(spark, sf_dir):
+@query("seed_categories", """select doc_id, case doc_id % 4 when 0 then 'array,dp' when 1 then 'dfs_bfs' when 2 then '' else 'hash,string' end as categories from documents""")
+def categories(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("doc_id", F.array_join("categories", ",").alias("categories"))
+
+
+def _tagged(spark, sf_dir):
     tags = F.array(*(F.array(*map(F.lit, x)) for x in ((" Arrays", "array", "DP"), ("BFS", "Depth-First Search"), ("geometry",), ("Hash Table", "number theory", "strings"))))
     rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.get(tags, (F.col("doc_id") % 4).cast("int")).alias("tags"))
-    return rows.select("doc_id", F.array_join(seed_categories(F.col("tags"), ALIASES), ",").alias("categories"))
+    return rows.select("doc_id", seed_categories(F.col("tags"), ALIASES).alias("categories"))
+
+
+@query("join_seed_by_tag", """with t(k, category) as (values (0, 'array'), (0, 'dp'), (1, 'dfs_bfs'), (3, 'hash'), (3, 'string')), s as (select item_id as seed_id, case item_id % 3 when 0 then 'dp' when 1 then 'hash' else 'graph' end as category from benchmark)
+  select doc_id, category, seed_id from documents join t on doc_id % 4 = k join s using (category)""")
+def seed_by_tag(spark, sf_dir):
+    seeds = fx.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seed_id"), F.get(F.array(F.lit("dp"), F.lit("hash"), F.lit("graph")), (F.col("item_id") % 3).cast("int")).alias("category"))
+    return _tagged(spark, sf_dir).select("doc_id", F.explode("categories").alias("category")).join(seeds, "category").select("doc_id", "category", "seed_id")
 
 
 # Samples and splits.
@@ -297,11 +292,12 @@ def sample_simple(spark, sf_dir):
     return sampling.take(fx.table(spark, sf_dir, "documents").select("doc_id"), 25, "doc_id", 42)
 
 
-@query("curriculum", "select doc_id, case lang when 'en' then 0 when 'fr' then 1 when 'de' then 2 else 3 end as stage_order from documents")
+@query("curriculum", "with r as (select doc_id, row_number() over (order by doc_id) - 1 as n from documents) select doc_id, case when n < 60 then 0 when n < 90 then 1 else 2 end as stage_order from r where n < 100")
 def curriculum(spark, sf_dir):
-    rows = fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    found = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    return sampling.curriculum(rows, "lang", {k: found[k] for k in ("en", "fr", "de", "es")}).select("doc_id", "stage_order")
+    """Stages of 60, 30 and 10 documents: counts stated beforehand, which the table must have."""
+    rows = sampling.positions(fx.table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], "n").filter("n < 100")
+    staged = rows.withColumn("stage", F.when(F.col("n") < 60, "easy").when(F.col("n") < 90, "medium").otherwise("hard"))
+    return sampling.curriculum(staged, "stage", {"easy": 60, "medium": 30, "hard": 10}).select("doc_id", "stage_order")
 
 
 @query("heldout_tests", """select doc_id, i::bigint as case_index, row_number() over (partition by doc_id order by sha256('42:' || doc_id::varchar || ':' || i::varchar)) > ceil(0.7::double * (doc_id % 6 + 1)) as held_out

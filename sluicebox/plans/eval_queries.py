@@ -139,11 +139,18 @@ def group_reward(spark, sf_dir):
     return evaluation.group_rewards(rows, "user_id", "reward").withColumn("std", F.round("std", 6))
 
 
-@query("agg_generation_stats", f"with {fx.GENERATIONS} select variant, round(avg(generated_tokens), 6) as mean_tokens, round(avg(length(text)), 6) as mean_chars, count(*) filter (hit_limit) as limit_hits, array_to_string(list(problem_id::varchar order by problem_id) filter (hit_limit), ',') as limit_ids from generations group by variant")
+@query("agg_generation_stats", f"with {fx.GENERATIONS} select variant, round(avg(generated_tokens), 6) as mean_tokens, round(avg(length(text)), 6) as mean_chars, count(*) filter (hit_limit) as limit_hits from generations group by variant")
 def generation_stats(spark, sf_dir):
     rows = fx.generations(spark, sf_dir)
-    ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("hit_limit"), F.col("problem_id")))), lambda x: x.cast("string"))
-    return rows.groupBy("variant").agg(F.round(F.avg("generated_tokens"), 6).alias("mean_tokens"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"), F.count_if("hit_limit").alias("limit_hits"), F.array_join(ids, ",").alias("limit_ids"))
+    return rows.groupBy("variant").agg(F.round(F.avg("generated_tokens"), 6).alias("mean_tokens"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"), F.count_if("hit_limit").alias("limit_hits"))
+
+
+@query("generation_limit_ids", f"with {fx.GENERATIONS} select variant, problem_id, row_number() over (partition by variant order by problem_id) - 1 as nth from generations where hit_limit")
+def generation_limit_ids(spark, sf_dir):
+    """The ids behind `limit_hits`, as rows in order: they may be any number."""
+    rows = sampling.positions(fx.generations(spark, sf_dir).filter("hit_limit").select("variant", "problem_id"), ["variant", "problem_id"], "at")
+    first = rows.groupBy("variant").agg(F.min("at").alias("first"))
+    return rows.join(first, "variant").select("variant", "problem_id", (F.col("at") - F.col("first")).alias("nth"))
 
 
 _SCORES = "(values " + ", ".join(f"({k}, {fx.literal(d)}, {w!r}::double)" for k, (d, w) in enumerate(fx.DIMENSIONS.items())) + ") dims(k, dimension, weight)"

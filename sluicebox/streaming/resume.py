@@ -31,11 +31,13 @@ def done_ids(*tables: DataFrame, key: str) -> DataFrame:
 def resume(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, step: Callable[[DataFrame], DataFrame], files: int = 8, kind: str = "json") -> StreamingQuery:
     """Applies step to new rows whose key isn't in the target yet, and appends the results, a few files at a time.
 
-    A micro-batch that is run again after a failure appends nothing twice: its keys are then in the target.
+    A micro-batch that is run again after a failure appends nothing twice: its keys are then in the target. Of several new rows of a key in
+    a micro-batch the least by its other columns, in their order, counts.
     """
 
     def batch(rows: DataFrame, number: int) -> None:  # noqa: ARG001
-        new = rows.dropDuplicates([key])
+        rest = [c for c in rows.columns if c != key]
+        new = rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("__r")).select(key, "__r.*").select(*rows.columns)
         if exists(spark, f"{target}/*.parquet"):
             new = pending(new, spark.read.parquet(target), key)
         step(new).write.mode("append").parquet(target)

@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from sluicebox.operators import dedup, evaluation, freeze, sampling, tokens, verify
+from sluicebox.operators import dedup, distill, evaluation, freeze, overlap, runs, sampling, tokens, verify
 from sluicebox.sources import tables
 from sluicebox.streaming import resume
 
@@ -236,3 +236,97 @@ def test_reports_and_fingerprints(spark, tmp_path):
         tables.markdown(spark.range(5), "T", 3)
     (tmp_path / "f").write_bytes(b"x")
     assert tables.fingerprint(spark, [str(tmp_path / "f")]) == hashlib.sha256(hashlib.sha256(b"x").hexdigest().encode()).hexdigest()
+
+
+def test_contained_texts(spark, monkeypatch):
+    docs = frame(spark, [(1, "a big cat sat"), (2, "cat"), (3, None), (4, ""), (5, "x cat cat big")], "doc_id long, text string")
+    items = frame(spark, [(10, "cat"), (11, "big cat"), (12, ""), (13, None), (14, "cat"), (15, "dog")], "item_id long, text string")
+    want = {(d, i) for d, t in [(1, "a big cat sat"), (2, "cat"), (4, ""), (5, "x cat cat big")] for i, x in [(10, "cat"), (11, "big cat"), (12, ""), (14, "cat"), (15, "dog")] if x in t}
+    found = lambda: sorted(map(tuple, overlap.contained(docs, "doc_id", "text", items, "item_id", "text").collect()))
+    assert found() == sorted(want)
+    monkeypatch.setattr(overlap, "BLOCK_BYTES", 3)
+    assert found() == sorted(want)
+    assert overlap.contained(docs, "doc_id", "text", items.filter("item_id = 13"), "item_id", "text").count() == 0
+    monkeypatch.setattr(overlap, "BLOCKS", 1)
+    with pytest.raises(ValueError, match="bytes of items"):
+        found()
+
+
+def test_candidates_are_verified_in_waves(spark, tmp_path):
+    log = tmp_path / "runs"
+    code = lambda name, value: f"open({str(log)!r}, 'a').write('{name} ')\nprint({value})"
+    rows = [(1, 0, code("a0", 0)), (1, 1, code("a1", 1)), (1, 2, code("a2", 1)), (2, 0, code("b0", 1)), (2, 1, code("b1", 1)), *((3, k, code(f"c{k}", 0)) for k in range(5))]
+    ranked = frame(spark, [(*r, '[{"input": "", "output": "1"}]', "standard_input", None) for r in rows], "id long, rank int, code string, cases string, io_mode string, fn_name string")
+    got = dedup.first_passing(verify.verify_in_waves(ranked, "id"), "id", "rank", "pass_rate")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (2, 0, 1), (3, None, 5)]
+    assert sorted(log.read_text().split()) == ["a0", "a1", "b0", "c0", "c1", "c2", "c3", "c4"]
+    assert verify.verify_in_waves(ranked.filter("id > 9"), "id").count() == 0
+
+
+def test_two_ways_of_distillation(spark):
+    """What a reference may become, what is kept from earlier rejections, and what isn't run."""
+    q, cases = "```", '[{"input": "", "output": "1"}]'
+    problems = frame(spark, [(i, r, cases, "standard_input", None, f) for i, (r, f) in enumerate([("print(1)", False), ("print(1)", True), (None, False), ("print(1)", False), ("print(", False), ("print(1)", False)])], "id long, reference string, cases string, io_mode string, fn_name string, force boolean")
+    first = frame(spark, [(0, f"x\n{q}python\nprint(1)\n{q}"), (1, "never read"), (3, f"{q}python\nprint(1)\n{q}"), (5, f"{q}python\nprint(2)\n{q}")], "id long, text string")
+    second = frame(spark, [(i, f"why\n{q}python\nother\n{q}\n{q}json\n[]\n{q}") for i in (1, 3, 4, 5)], "id long, text string")
+    earlier = frame(spark, [(3, "timeout", 0.0, None, None)], "id long, failure_type string, pass_rate double, error string, first_failure string")
+    got = {r["id"]: r for r in distill.process(problems, first, second, earlier).collect()}
+    assert [got[i]["saved"] for i in range(6)] == [True, True, False, True, False, True]
+    assert [got[i]["label_strategy"] for i in range(6)] == ["pedagogical_rewrite", "reference_locked", None, "reference_locked", None, "reference_locked"]
+    assert got[2]["failure_type"] == "no_verified_reference"
+    assert got[4]["failure_type"] == "recovery_syntax_error"
+    assert got[3]["initial_failure"]["failure_type"] == "timeout"  # an earlier rejection goes the second way
+    assert got[1]["initial_failure"] is None
+    assert got[5]["initial_failure"]["failure_type"] == "wrong_answer"
+    assert got[1]["content"].startswith("why")
+    assert "other" not in got[1]["content"]
+    assert got[1]["content"].endswith(f"print(1)\n{q}")
+    assert got[1]["comments_only"] is True
+    idle = distill.process(problems, first, second, how=distill.Runs(run=False)).filter("id = 5").first()
+    assert (idle["saved"], idle["pass_rate"], idle["label_strategy"]) == (True, 0.0, "pedagogical_rewrite")
+
+
+def test_runs_must_agree(spark, tmp_path):
+    for name, value in (("selection.json", {"problem_ids": ["b", "a"]}), ("manifest.json", {"seed": 1, "k": [2]})):
+        tables.write_json(value, str(tmp_path / name))
+    ids, manifest = runs.load_frozen(spark, str(tmp_path), {"seed": 1, "k": [2]})
+    assert [tuple(r) for r in ids.orderBy("ord").collect()] == [(0, "b"), (1, "a")]
+    assert manifest["seed"] == 1
+    with pytest.raises(ValueError, match="seed"):
+        runs.load_frozen(spark, str(tmp_path), {"seed": 2, "k": [2]})
+    with pytest.raises(FileNotFoundError):
+        runs.load_frozen(spark, str(tmp_path / "none"), {})
+    made = frame(spark, [("a",), ("b",)], "problem_id string")
+    assert runs.replay(spark, str(tmp_path), made, count=2)[0].count() == 2
+    with pytest.raises(ValueError, match="missing"):
+        runs.replay(spark, str(tmp_path), made.filter("problem_id = 'a'"))
+    with pytest.raises(ValueError, match="not 515"):
+        runs.replay(spark, str(tmp_path), made, count=515)
+    with pytest.raises(ValueError, match=r"\['c'\]"):
+        runs.source_subset(made, frame(spark, [("a",), ("c",)], "problem_id string"), "problem_id")
+
+
+def test_keyed_lines_and_imports(spark, tmp_path):
+    path = tmp_path / "k.jsonl"
+    path.write_text('{"problem_id": "a", "n": 1}\n\n{"problem_id": "b", "n": 2}\n{"problem_id": "a", "n": 3}\n')
+    schema = "problem_id string, n long"
+    assert sorted(map(tuple, tables.keyed_lines(spark, str(path), schema).collect())) == [("a", 3), ("b", 2)]
+    with pytest.raises(ValueError, match="duplicate"):
+        tables.keyed_lines(spark, str(path), schema, repeated="error")
+    assert tables.keyed_lines(spark, str(tmp_path / "none"), schema).count() == 0
+    path.write_text('{"n": 1}\n')
+    with pytest.raises(Exception, match="without problem_id"):
+        tables.keyed_lines(spark, str(path), schema).collect()
+    rows = frame(spark, [("a", " x ", None, "p1"), ("b", "y", "v", "")], "id string, answer string, variant string, protocol_name string")
+    answers, protocols = tables.imported_generations(rows, "v")
+    assert sorted(map(tuple, answers.collect())) == [("a", "x"), ("b", "y")]
+    assert [r[0] for r in protocols.collect()] == ["p1"]
+    with pytest.raises(ValueError, match="1 rows of other"):
+        tables.imported_generations(rows, "w")
+
+
+def test_prompts_name_what_they_lack(spark):
+    assert spark.range(1).select(distill.render("a {{x}} {y}!", y=F.lit(None).cast("string"))).first()[0] == "a {x} !"
+    for template, parts in (("{a}", {}), ("a", {"b": F.lit(1)}), ("{a:>3}", {"a": F.lit(1)})):
+        with pytest.raises(ValueError, match="template"):
+            distill.render(template, **parts)
