@@ -15,7 +15,7 @@ fewer than k rows only if there are fewer candidates.
 How many lists to look into is learned: on the sample, so many that the true neighbours of sampled queries are found with the
 recall asked for. The sample (at most `sample_rows` rows, by a hash of the id) fits centres and that number; all rows are indexed.
 
-Zero vectors take no part. Equal scores go to the smaller vec_id.
+Zero vectors take no part. Equal scores go to the smaller vec_id. What else takes part, repeated ids, empty tables: see `vectors`.
 """
 
 from __future__ import annotations
@@ -78,24 +78,31 @@ def scan(query_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, ids: np.nda
     # More than single precision loses in any of these sums, whatever the vectors' lengths.
     tolerance = (length + 8) * np.finfo(np.float32).eps * (q_prefix[:, -1:] + prefix[None, :, -1])
     partial = np.zeros((len(q), len(ids)), np.float32)
+    own, these = np.arange(len(q)), np.arange(len(ids))  # queries and candidates still in the matrix
+    alive = np.ones(partial.shape, bool)
     rows, columns, read = None, None, 0
     for step, begin in enumerate(steps):
         end = min(begin + BLOCK, length)
         slack = (1 + EPS / np.sqrt(end)) ** 2 * end / length if end < length else 1 + 1e-5
         if rows is None:
-            partial += q_turned[:, begin:end] @ o_turned[:, begin:end].T
+            partial += q_turned[own, begin:end] @ o_turned[these, begin:end].T
             read += partial.size * (end - begin)
-            alive = q_prefix[:, step, None] + prefix[None, :, step] - 2 * partial <= slack * limit + tolerance
+            alive &= q_prefix[own, step, None] + prefix[None, these, step] - 2 * partial <= slack * limit + tolerance
             if alive.mean() < 0.3 or end == length:
                 rows, columns = np.nonzero(alive)
-                partial = partial[rows, columns]
-                limit = limit[rows, columns]
-                tolerance = tolerance[rows, columns]
+                partial, limit, tolerance = partial[rows, columns], limit[rows, columns], tolerance[rows, columns]
+                rows, columns = own[rows], these[columns]
+                continue
+            # Candidates that every query has abandoned, and queries without candidates, leave the matrix.
+            some, there = alive.any(1), alive.any(0)
+            if min(some.mean(), there.mean()) < 0.9:
+                left = np.ix_(some, there)
+                partial, limit, tolerance, alive, own, these = partial[left], limit[left], tolerance[left], alive[left], own[some], these[there]
         else:
             partial = partial + np.einsum("ij,ij->i", q_turned[rows, begin:end], o_turned[columns, begin:end])
             read += len(rows) * (end - begin)
-            alive = q_prefix[rows, step] + prefix[columns, step] - 2 * partial <= slack * limit + tolerance
-            rows, columns, partial, limit, tolerance = rows[alive], columns[alive], partial[alive], limit[alive], tolerance[alive]
+            still = q_prefix[rows, step] + prefix[columns, step] - 2 * partial <= slack * limit + tolerance
+            rows, columns, partial, limit, tolerance = rows[still], columns[still], partial[still], limit[still], tolerance[still]
     return *k_best(query_ids, q, ids, o, rows, columns, k), read
 
 

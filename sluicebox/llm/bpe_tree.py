@@ -21,7 +21,7 @@ Encodings lie in one array by byte: a token's id stands where it begins, so a jo
 level are written at once. The rule is the same for every text, of any length and script.
 
 Null texts count as empty: no ids, and the digests of the empty string. Repeated rows are each encoded; an empty table gives no rows. A kept
-column with the name of a result gives way to it. Work arrays take some 40 bytes per byte of the longest text.
+column with the name of a result gives way to it. Work arrays take some 60 bytes per byte of a slice of texts or of a block of a long one.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
 
+from . import common
 from .common import map_texts
 from .tokenizer_files import encoding, vocabulary
 
@@ -127,7 +128,12 @@ class Encoder:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; the levels of all texts' trees are gone through together."""
+        """The ids of each text; the levels of all texts' trees are gone through together. Long texts go in blocks between firm borders."""
+        if max(map(len, texts), default=0) > common.LONG:
+            return [np.concatenate([self._encode_all([b])[0] for b in common.at_blanks(t)]) if len(t) > common.LONG else self._encode_all([t])[0] for t in texts]
+        return self._encode_all(texts)
+
+    def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
         n = len(points)

@@ -10,7 +10,8 @@ A conversation is a log of events (conv_id, turn, role, text, and, where the log
 
 Logs are partitioned by conversation and sorted within partitions, so a task streams through its conversations and
 holds one at a time. Order: turn (nulls first), then seq, message_id, role and text, so ties and repeated rows come in a defined
-order; repeated rows are all kept. Null text is empty, null role is ''. A null conv_id is a conversation of its own.
+order; repeated rows are all kept. Null text is empty, null role is ''. A null conv_id is a conversation of its own. An empty log gives no rows;
+other columns aren't read, whatever their names. A conversation is one cell of the output, so texts may be long, up to 2 GB together.
 
 Template. A turn is written as `<|ROLE|>\\n TEXT <|end|>\\n`; in roles and texts a `<|` becomes `<\\|`, and `<\\...\\|` gets one
 backslash more, so a control string never occurs inside a text, and unescaping takes one off: reversible.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -113,6 +114,23 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     pa.default_memory_pool().release_unused()
 
 
+#: Characters of a text that is worked on as a whole; longer ones go in blocks.
+LONG = 4 << 20
+_PLACE = re.compile(r"(?<=[!-~]) ")
+
+
+def at_blanks(text: str, size: int | None = None) -> list[str]:
+    """A long text in blocks of about `size` characters (LONG, if not given), each but the first beginning with a blank after a printable
+    ASCII sign. No match of a byte-level vocabulary's pattern spans such a place, nor looks across it: the blocks' tokens are the text's.
+    Where there is none, a block is longer.
+    """
+    size = size or LONG
+    cuts = [0]
+    while cuts[-1] + size < len(text) and (m := _PLACE.search(text, cuts[-1] + size)):
+        cuts.append(m.start())
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
 def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, function: Callable[[], Callable[[list[str], pa.RecordBatch], dict]]) -> DataFrame:
     """Columns `keep` of df beside what the function returns for each text.
 

@@ -16,7 +16,9 @@ holds, for every suffix of what was read that a longer token may still cover, th
 and how many tokens fewer there were. Nothing else bears on what follows, and equal states are one state.
 
 Special strings count as one token each and divide the text, as the library does by default.
-Null texts count as empty: 0 bytes, 0 tokens. Repeated rows are counted each; an empty table gives no rows.
+Null texts count as empty: 0 bytes, 0 tokens. Repeated rows are counted each; an empty table gives no rows; a kept column with the name of a
+result gives way to it. Long texts go in blocks between places that no pre-token spans; work arrays take some 60 bytes per byte of a slice or
+block. The transducer holds MAX_STATES states, and those that one step of all pieces of a block adds; then it starts anew from where it is.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from . import common
 from .common import map_texts
 from .tokenizer_files import encoding, path, vocabulary
 
@@ -183,7 +186,21 @@ class Counter:
         self.kept: dict[int, int] = {}
         self.stable: dict[int, bool] = {}
         self.bits = 18
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+
+    def restarted(self, states: np.ndarray) -> np.ndarray:
+        """Forgets all states but the given ones; tells their new numbers."""
+        wanted, back = np.unique(states, return_inverse=True)
+        kept = [self.info[i] for i in wanted.tolist()]
+        self.clear()
+        return np.array([self._state(x) for x in kept], np.int64)[back]
+
+    def _state(self, info: tuple[int, ...]) -> int:
+        state = self.state_of.get(info)
+        if state is None:
+            state = self.state_of[info] = len(self.info)
+            self.info.append(info)
+        return state
 
     def apart(self, left: int, right: int) -> bool:
         """Whether two tokens side by side stay as they are."""
@@ -208,10 +225,7 @@ class Counter:
             if node in self.inner:
                 grown.append((node, before, fewer))
         new = tuple(x for node, before, fewer in grown for x in (node, before, fewer - change)) + (0, token, 0)
-        state = self.state_of.get(new)
-        if state is None:
-            state = self.state_of[new] = len(self.info)
-            self.info.append(new)
+        state = self._state(new)
         if not -512 <= change < 512:
             raise OverflowError("a transition changes the count by more than ten bits hold")
         known = self.kept[key] = state << 10 | change + 512
@@ -223,8 +237,8 @@ class Counter:
     def _keep(self, keys: np.ndarray, values: np.ndarray) -> None:
         if len(self.kept) * 2 > len(self.keys):
             self.bits = len(self.kept).bit_length() + 2
-            self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-            keys, values = np.fromiter(self.kept.keys(), np.int64), np.fromiter(self.kept.values(), np.int32)
+            self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+            keys, values = np.fromiter(self.kept.keys(), np.int64), np.fromiter(self.kept.values(), np.int64)
         at, mask = self._slots(keys), len(self.keys) - 1
         while len(keys):
             free = np.flatnonzero(self.keys[at] < 0)
@@ -251,7 +265,7 @@ class Counter:
             open_ = open_[~found]
         if unknown and len(new := np.concatenate(unknown)):
             wanted, back = np.unique(keys[new], return_inverse=True)
-            got = np.array([self.step(k) for k in wanted.tolist()], np.int32)
+            got = np.array([self.step(k) for k in wanted.tolist()], np.int64)
             out[new] = got[back]
             self._keep(wanted, got)
         return out
@@ -269,6 +283,9 @@ class Counter:
             for b in data[begins[i] : begins[i] + lengths[i]].tobytes():
                 got = kept(state << 8 | b)
                 if got is None:
+                    if len(self.info) > MAX_STATES:
+                        state = int(self.restarted(np.array([state]))[0])
+                        kept = self.kept.get
                     got = step(state << 8 | b)
                 state = got >> 10
                 total += (got & 1023) - 512
@@ -279,6 +296,8 @@ class Counter:
         active = len(order)
         for k in range(int(longest[0]) if active else 0):
             active = int(np.searchsorted(-longest[:active], -k, "left"))
+            if len(self.info) > MAX_STATES:
+                state[:active] = self.restarted(state[:active])
             got = self.steps(state[:active] << 8 | data[at[:active] + k])
             state[:active] = got >> 10
             total[:active] += (got & 1023) - 512
@@ -298,6 +317,12 @@ def unpacked(classes: bytes) -> np.ndarray:
 
 def count_tokens(texts: list[str], name: str, classes_of: np.ndarray | None = None) -> np.ndarray:
     """Tokens of each text. classes_of: code_point_classes(name), where they are at hand."""
+    if max(map(len, texts), default=0) > common.LONG:
+        return np.array([sum(int(_count_tokens([b], name, classes_of)[0]) for b in common.at_blanks(t)) for t in texts], np.int64)
+    return _count_tokens(texts, name, classes_of)
+
+
+def _count_tokens(texts: list[str], name: str, classes_of: np.ndarray | None) -> np.ndarray:
     special = vocabulary(name)[1]
     extra = np.zeros(len(texts), np.int64)
     parts, owner = texts, None

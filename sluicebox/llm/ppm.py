@@ -18,7 +18,7 @@ error that says so (clean the column, or lower `per_language`), never a cut.
 Results: `und` with score 0 where the text is null or has no letter, or nothing was learned. Ties go to the language
 first in order. The score is the posterior probability of the language under equal priors. Repeated rows are scored each, and count
 each when learned; an empty table gives no rows; a kept column with the name of a result gives way to it. Very long texts are read
-whole, with work arrays of some 40 bytes for each of their bytes.
+whole, in blocks; work arrays take some 40 bytes per byte of a slice of texts or of a block.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import map_texts, text_slices
 
 ORDER = 3
@@ -208,12 +209,23 @@ def model_of(counts: pd.DataFrame) -> Model:
 
 
 def code_lengths(texts: list[str], model: Model) -> np.ndarray:
-    """Bits of each text in each language."""
-    encoded = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(PAD + e for e in encoded), np.uint8)
-    lengths = np.array([len(e) for e in encoded])
-    ends = np.cumsum(lengths + ORDER)
+    """Bits of each text in each language. A long text goes in blocks, each read after the last bytes of the one before."""
+    if max(map(len, texts), default=0) <= common.LONG:
+        return _code_lengths([(PAD, t.encode()) for t in texts], model)
     out = np.zeros((len(model.languages), len(texts)))
+    for k, text in enumerate(texts):
+        data, size = PAD + text.encode(), common.LONG
+        for at in range(ORDER, len(data), size):
+            out[:, k] += _code_lengths([(data[at - ORDER : at], data[at : at + size])], model)[:, 0]
+    return out
+
+
+def _code_lengths(parts: list[tuple[bytes, bytes]], model: Model) -> np.ndarray:
+    """Bits in each language of bytes that follow ORDER others."""
+    data = np.frombuffer(b"".join(x for part in parts for x in part), np.uint8)
+    lengths = np.array([len(own) for _, own in parts])
+    ends = np.cumsum(lengths + ORDER)
+    out = np.zeros((len(model.languages), len(parts)))
     there = np.flatnonzero(lengths)
     if not len(there):
         return out
@@ -223,7 +235,7 @@ def code_lengths(texts: list[str], model: Model) -> np.ndarray:
     gram |= wide[2:-1] << 8
     gram |= wide[3:]
     del wide
-    # gram[i] belongs to byte i + 3; sums from a text's first byte to its end, pads left out.
+    # gram[i] belongs to byte i + 3; sums from a part's first byte to its end, what stands before it left out.
     borders = np.stack([ends[there] - lengths[there] - ORDER, ends[there] - ORDER], 1).reshape(-1)
     borders = borders[:-1] if borders[-1] >= len(gram) else borders
     row = model.levels[ORDER].grams.find(gram)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluicebox.llm import ann, gam, jaccard, mtree, ppm
+from sluicebox.llm import ann, common, gam, jaccard, mtree, ppm
 from sluicebox.llm import queries as q
 from sluicebox.llm.common import Scratch, durable
 
@@ -411,12 +411,15 @@ def test_many_scripts_keep_all_their_contexts(spark):
         ppm.fit(dirty)
 
 
-def test_language_of_a_very_long_text():
+def test_language_of_a_very_long_text(monkeypatch):
     counts = __import__("pandas").DataFrame([("x", 0x0A0A0A61, 1), ("x", 0x0A0A6162, 5), ("y", 0x0A0A0A62, 1)], columns=["lang", "gram", "n"])
     model = ppm.model_of(counts)
     one, many = ppm.code_lengths(["ab" * 50], model)[:, 0], ppm.code_lengths(["ab" * 1_000_000, "", "a"], model)
     assert many[:, 1].tolist() == [0, 0]
     assert np.allclose(many[:, 0], one * 20_000, rtol=0.02)
+    whole = ppm.code_lengths(["ab a" * 30, "é", ""], model)
+    monkeypatch.setattr(common, "LONG", 7)
+    assert np.allclose(ppm.code_lengths(["ab a" * 30, "é", ""], model), whole)
 
 
 def test_language_of_odd_texts(spark):
@@ -438,6 +441,65 @@ def test_quality_by_held_out_labels(spark, data):
     assert ((got["score"] >= 0.3).astype(int) == got["predicted"]).all()
 
 
+def plain_features(text: str) -> list[float]:
+    """A restatement of the classifier's features, one text at a time."""
+    import collections
+
+    data, words, lines = text.encode(), text.split(), text.split("\n")
+    n, pairs = max(len(words), 1), list(zip(words, words[1:], strict=False))
+    if not data:
+        return [0.0] * len(gam.FEATURES)
+    odd = [b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"?-()"]
+    count = lambda some, part=data: sum(b in some for b in part)
+    upper, lower, beyond = set(range(65, 91)), set(range(97, 123)), set(range(128, 256))
+    letters = max(count(upper) + count(lower) + count(beyond) / 2, 1)
+    most = lambda items: max(collections.Counter(items).values(), default=0)
+    windows = [data[k : k + gam.WINDOW] for k in range(0, len(data), gam.WINDOW)]
+    worst = lambda some: max(count(some, w) / len(w) if len(w) >= gam.WINDOW / 4 else 0 for w in windows)
+    value = {
+        "log_bytes": math.log1p(len(data)), "upper_share": count(upper) / letters, "digit_share": count(set(range(48, 58))) / len(data), "symbol_share": count(set(odd)) / len(data), "space_share": data.count(b" ") / len(data), "line_share": data.count(b"\n") / len(data),
+        "word_length": len(data) / n, "distinct_words": len(set(words)) / n, "top_word": most(words) / n, "repeated_words": sum(a == b for a, b in pairs) / n, "bang_share": data.count(b"!") / len(data), "pipe_share": data.count(b"|") / len(data), "beyond_ascii": count(beyond) / len(data),
+        "distinct_lines": len(set(lines)) / len(lines), "window_upper": worst(upper), "window_symbols": worst(set(odd)), "window_letters": letters / len(data), "symbols_per_word": count(set(odd)) / n, "top_pair": most(pairs) / n,
+    }
+    return [value[f] for f in gam.FEATURES]
+
+
+def test_quality_query_is_its_model_on_plain_features(spark, data):
+    """The whole query restated: which rows are learned from, the features of whole texts, a sum of table entries for each score."""
+    import zlib
+
+    held = lambda doc_id: zlib.crc32(str(doc_id).encode()) % 5 == 0
+    docs = {r["doc_id"]: r["text"] or "" for r in q.table(spark, data, "documents").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in q.table(spark, data, "labels").collect() if r["quality"] in (0, 1)}
+    rows = {i: plain_features(t) for i, t in docs.items()}
+    used = sorted(i for i in labels if i in docs and not held(i))
+    model = gam.train(np.array([rows[i] for i in used]), np.array([labels[i] for i in used], float))
+    got = {r["doc_id"]: r for r in q.op7_quality(spark, data).collect()}
+    assert set(got) == set(docs)
+    for i, own in rows.items():
+        total = model.intercept
+        bins = [int(np.searchsorted(edges, x, "right")) for edges, x in zip(model.edges, own, strict=True)]
+        total += sum(model.tables[k][b] for k, b in enumerate(bins)) + sum(table[bins[a], bins[b]] for (a, b), table in zip(model.pairs, model.pair_tables, strict=True))
+        score = 1 / (1 + math.exp(-total))
+        assert abs(got[i]["score"] - score) < 1e-6, i
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+        assert got[i]["held_out"] == held(i)
+
+
+def test_learning_from_repeated_ids_is_bounded_and_fixed(spark):
+    text = "some plain words of a text that may be good "
+    docs = [(i, text * (1 + i % 3) if i % 2 else "BAD! " * (9 + i % 4)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    more = [(4, f"other text number {k}") for k in range(50)] + [(4, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    models = [gam.fit(frame(rows), labels) for rows in (docs + more, (docs + more)[::-1])]
+    assert all(a.tolist() == b.tolist() for a, b in zip(models[0].edges, models[1].edges, strict=True))
+    assert models[0].tables.tolist() == models[1].tables.tolist()
+    scored = gam.score(frame(docs + more).withColumn("score", F.lit("x")), models[0])
+    assert scored.count() == 111
+    assert gam.score(frame(docs).filter("doc_id > 99"), models[0]).count() == 0
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.uniform(-1, 1, size=(3000, 4))

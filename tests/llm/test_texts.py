@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sluicebox.llm import bpe_tree, chat, fst_tokens, packing, pii
+from sluicebox.llm import bpe_tree, chat, common, fst_tokens, packing, pii
 from sluicebox.llm.tokenizer_files import encoding, vocabulary
 
 JSON, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -40,9 +40,23 @@ def test_counts_are_the_librarys(library):
 
 def test_counter_starts_anew_when_full(library, monkeypatch):
     monkeypatch.setattr(fst_tokens, "MAX_STATES", 50)
-    texts = random_texts(5, 60)
-    for text in texts:
-        assert int(fst_tokens.count_tokens([text], JSON)[0]) == len(library.encode(text, add_special_tokens=False).ids)
+    rnd = random.Random(4)
+    texts = [*random_texts(5, 60), "".join(rnd.choice("abcdefghij") for _ in range(3000))]
+    for some in ([t] for t in texts):
+        assert fst_tokens.count_tokens(some, JSON).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in some]
+    assert fst_tokens.count_tokens(texts, JSON).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    # Also in the middle of one text: states don't grow with it.
+    assert len(fst_tokens.counter(JSON).info) < 5000
+
+
+def test_long_texts_go_in_blocks(library, monkeypatch):
+    texts = [*random_texts(6, 300), " the of" * 90, "a  b" * 40, "x' s 's", "<|endoftext|> a" * 20, "日本 語 a b" * 30, "nowhere" * 40]
+    monkeypatch.setattr(common, "LONG", 12)
+    assert any(len(common.at_blanks(t)) > 3 for t in texts)
+    assert all("".join(common.at_blanks(t)) == t for t in texts)
+    assert fst_tokens.count_tokens(texts, JSON).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    tree = bpe_tree.encoder(RANKS, bpe_tree.code_point_classes())
+    assert [x.tolist() for x in tree.encode_all(texts)] == [encoding(RANKS).encode_ordinary(t) for t in texts]
 
 
 def test_chunks_scan_to_the_same_borders():
@@ -312,6 +326,13 @@ def test_conversations_of_a_table(spark):
     assert {k: r["n_turns"] for k, r in got.items()} == {1: 2, 2: 2, None: 1}
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\nb\n").hexdigest()
     assert got[1]["loss_sha256"] == hashlib.sha256(b"b").hexdigest()
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    # Repeated rows are kept, ties have an order, other columns don't matter, long texts are whole.
+    long = "<|x|> " * 300_000
+    odd = spark.createDataFrame([(5, 0, "user", long, 1, "f"), (5, 1, "assistant", "b", 2, "f"), (5, 1, "assistant", "a", 3, "f"), (5, 1, "assistant", "a", 3, "f")], "conv_id long, turn long, role string, text string, n_turns long, formatted string").repartition(2)
+    got = chat.read_back(chat.format_conversations(odd)).first()
+    assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (4, 3, hashlib.sha256(b"aab").hexdigest())
+    assert got["turns_sha256"] == hashlib.sha256(f"user\n{long}\nassistant\na\nassistant\na\nassistant\nb\n".encode()).hexdigest()
     log = [(1, 0, 2, "delta", "m", "assistant", "lo"), (1, 0, 1, "delta", "m", "assistant", "hel")]
     one = chat.format_conversations(spark.createDataFrame(log, "conv_id long, turn long, seq long, event string, message_id string, role string, text string")).first()
     assert chat.parse(one["formatted"]) == [("assistant", "hello")]
