@@ -224,6 +224,21 @@ def id_file_again(spark, sf_dir):
     return tables.read_ids(spark, f"{path}/*.txt").select(c("ord").cast("long").alias("ord"), "id")
 
 
+@query("sink_id_lines", "select lang as split, row_number() over (partition by lang order by doc_id) - 1 as ord, doc_id::varchar as id from documents")
+def id_lines(spark, sf_dir):
+    """Written as lines, a folder for each split, and read again."""
+    path, docs = tables.scratch(spark), fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    placed = sampling.positions(docs, ["lang", "doc_id"], "at")
+    first = placed.groupBy("lang").agg(F.min("at").alias("first"))
+    ids = placed.join(first, "lang").select(c("lang").alias("split"), (c("at") - c("first")).alias("ord"), c("doc_id").alias("id"))
+    tables.id_lines(ids, 7, "documents").select("split", "value").write.partitionBy("split").text(path)
+    out = None
+    for split in sorted(r["split"] for r in ids.select("split").distinct().collect()):
+        rows = tables.read_id_lines(spark, f"{path}/split={split}").select(F.lit(split).alias("split"), "ord", "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("sink_frozen_exact", "select doc_id, lang from documents")
 def frozen_exact(spark, sf_dir):
     path, rows = tables.scratch(spark), fx.table(spark, sf_dir, "documents").select("doc_id", "lang")

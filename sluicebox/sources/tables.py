@@ -231,12 +231,39 @@ def write_json(value: object, path: str, tries: int = 5, pause: float = 0.05) ->
             time.sleep(pause * 2**n)
 
 
+#: Ids that one JSON text holds at most.
+ID_FILE_ROWS = 1_000_000
+
+
 def id_file(ids: DataFrame, seed: int, parent: str) -> DataFrame:
-    """One row per split: the JSON text of its id file, ids in order. Columns split, ord, id."""
+    """One row per split: the JSON text of its id file, ids in order. Columns split, ord, id.
+
+    One text for a split of any size would be one cell of any size: beyond ID_FILE_ROWS it is an error, and `id_lines` is the form to write.
+    """
+    large = ids.groupBy("split").count().filter(F.col("count") > ID_FILE_ROWS).limit(1).collect()
+    if large:
+        raise ValueError(f"split {large[0]['split']} has {large[0]['count']} ids: write id_lines")
     rows = ids.groupBy("split").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("id").cast("string").alias("id")))), lambda x: x["id"]).alias("ids"))
     return rows.select("split", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(seed).alias("seed"), F.lit(parent).alias("parent"), F.size("ids").alias("count"), "ids")).alias("value"))
 
 
+def id_lines(ids: DataFrame, seed: int, parent: str) -> DataFrame:
+    """Lines of id files of any size (split, ord, value): a head at ord -1 with the count, then a line for each id. Columns split, ord, id."""
+    heads = ids.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    head = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(seed).alias("seed"), F.lit(parent).alias("parent"), F.col("n").alias("count")))
+    line = F.to_json(F.struct(F.col("ord").cast("long").alias("ord"), F.col("id").cast("string").alias("id")))
+    return heads.select("split", F.lit(-1).cast("long").alias("ord"), head.alias("value")).unionByName(ids.select("split", F.col("ord").cast("long").alias("ord"), line.alias("value")))
+
+
+def read_id_lines(spark: SparkSession, path: str) -> DataFrame:
+    """ord and id of files of `id_lines`; an error if a head's count isn't that of its ids."""
+    rows = json_lines(spark, path, "count long, ord long, id string")
+    counts = rows.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("said"), F.count("id").alias("there")).first()
+    if counts["said"] != counts["there"]:
+        raise ValueError(f"{counts['there']} ids where {counts['said']} are named")
+    return rows.filter("id is not null").select("ord", "id")
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """sha256 over the digests of files, in the order given."""
     digests = []

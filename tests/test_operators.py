@@ -325,6 +325,18 @@ def test_keyed_lines_and_imports(spark, tmp_path):
         tables.imported_generations(rows, "w")
 
 
+def test_ids_of_any_number_are_lines(spark, tmp_path, monkeypatch):
+    ids = frame(spark, [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "split string, ord long, id string")
+    monkeypatch.setattr(tables, "ID_FILE_ROWS", 1)
+    with pytest.raises(ValueError, match="id_lines"):
+        tables.id_file(ids, 1, "p")
+    tables.id_lines(ids.filter("split = 'a'"), 1, "p").select("value").write.text(str(tmp_path / "a"))
+    assert sorted(map(tuple, tables.read_id_lines(spark, str(tmp_path / "a")).collect())) == [(0, "x"), (1, "y")]
+    tables.id_lines(ids.filter("split = 'a'"), 1, "p").filter("ord <> 1").select("value").write.text(str(tmp_path / "b"))
+    with pytest.raises(ValueError, match="1 ids where 2"):
+        tables.read_id_lines(spark, str(tmp_path / "b"))
+
+
 def test_prompts_name_what_they_lack(spark):
     assert spark.range(1).select(distill.render("a {{x}} {y}!", y=F.lit(None).cast("string"))).first()[0] == "a {x} !"
     for template, parts in (("{a}", {}), ("a", {"b": F.lit(1)}), ("{a:>3}", {"a": F.lit(1)})):
