@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import latest
 from ..sources import tables
-from ..streaming import resume
+from ..streaming import judging, resume
 from . import fixtures as fx
 from .registry import query
 
@@ -43,3 +43,32 @@ def stream_latest(spark, sf_dir):
     tables.append_lines(fx.table(spark, sf_dir, "events").select("user_id", "event_id"), f"{folder}/lines")
     rows = tables.json_lines(spark, f"{folder}/lines", "user_id long, event_id long", strict=False)
     return latest(rows, "user_id", "event_id")
+
+
+@query("stream_async_judge", """select event_id, event_type as provider, case when event_type = 'error' and event_id % 2 = 0 then 'provider_left_out' when event_type = 'error' then 'insufficient_balance' end as reason from events where event_id % 3 > 0""")
+def stream_judge(spark, sf_dir):
+    """Requests come in two lots; the provider that fails in the first is asked no more in the second. Some come twice."""
+    folder = tables.scratch(spark)
+    events = fx.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("provider")).filter("event_id % 3 > 0")
+    ask = lambda rows: rows.withColumns({"status": F.when(F.col("provider") == "error", 402).otherwise(200), "message": F.lit("ok")})
+    for part in (events.filter("event_id % 2 = 1"), events):
+        part.coalesce(1).write.mode("append").json(f"{folder}/in")
+        judging.judge(spark, f"{folder}/in", "event_id long, provider string", f"{folder}/out", f"{folder}/checkpoint", "event_id", ask).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "provider", "reason")
+
+
+@query("stream_bounded_inflight", "select count(*) as keys, count(*) filter (event_id % 2 = 0) as even from events")
+def bounded_inflight(spark, sf_dir):
+    """A few files to a micro-batch, however many wait."""
+    folder = tables.scratch(spark)
+    fx.table(spark, sf_dir, "events").select("event_id").repartition(5).write.json(f"{folder}/in")
+    sizes = []
+
+    def step(rows):
+        sizes.append(len(rows.inputFiles()))
+        return rows
+
+    resume.resume(spark, f"{folder}/in", "event_id long", f"{folder}/out", f"{folder}/checkpoint", "event_id", step, files=2).awaitTermination()
+    if max(sizes, default=0) > 2:
+        raise AssertionError(f"micro-batches of {sizes} files")
+    return spark.read.parquet(f"{folder}/out").agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("event_id") % 2 == 0).alias("even"))
