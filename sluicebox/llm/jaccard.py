@@ -342,16 +342,16 @@ class JaccardJoin:
     def stars(self, members: DataFrame, scratch: Scratch) -> DataFrame:
         """From token, cls, size of larger groups: token, hub, hub_size, cls, size, and whether hub and cls are candidates (ok).
 
-        The hub comes from an aggregate that combines before it shuffles; joining it back is a join that can be split.
+        The hub comes from an aggregate that combines before it shuffles. What is joined back has one row for each class or group.
         """
-        fame = members.groupBy("cls").agg(F.count(F.lit(1)).alias("fame"))
+        fame = scratch(members.groupBy("cls").agg(F.count(F.lit(1)).alias("fame")))
         first = F.min_by(F.struct("cls", "size"), F.struct((-F.col("fame")).alias("fame"), F.xxhash64("cls").alias("hash"), "cls"))
-        hubs = scratch(members.join(fame, "cls").groupBy("token").agg(first.alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.size").alias("hub_size")))
+        hubs = scratch(members.join(_sent(fame), "cls").groupBy("token").agg(first.alias("h")).select("token", F.col("h.cls").alias("hub"), F.col("h.size").alias("hub_size")))
         n, m = F.shiftright("size", 24), F.shiftright("hub_size", 24)
         place, hub_place = F.col("size").bitwiseAND(F.lit((1 << 24) - 1)), F.col("hub_size").bitwiseAND(F.lit((1 << 24) - 1))
         most = F.least(place, hub_place) + F.least(n - place, m - hub_place)
         ok = (F.col("hub") != F.col("cls")) & (self.den * F.least(n, m) >= self.num * F.greatest(n, m)) & ((self.num + self.den) * most >= self.num * (n + m))
-        return scratch(members.join(hubs, "token").withColumn("ok", ok))
+        return scratch(members.join(_sent(hubs), "token").withColumn("ok", ok))
 
     def by_hub(self, members: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
         """hub, r, b, rest, cls, n, comp, sketch: the pairs of blocks to compare of the groups (token, hub, cls, size, comp) that span components.
@@ -359,12 +359,12 @@ class JaccardJoin:
         Block r holds members outside a family's largest component (rest), block b any members; each rest block meets each block.
         """
         spans = members.groupBy("token", "comp").agg(F.first("hub").alias("hub")).groupBy("token").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token")
-        rows = members.join(spans, "token", "left_semi").groupBy("hub", "cls").agg(F.first("size").alias("size"), F.first("comp").alias("comp"))
+        rows = members.join(_sent(scratch(spans)), "token", "left_semi").groupBy("hub", "cls").agg(F.first("size").alias("size"), F.first("comp").alias("comp"))
         rows = scratch(rows.select("hub", "cls", F.shiftright("size", 24).alias("n"), "comp"))
         comps = rows.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("held"))
         every = F.sum("held").alias("every")
         families = comps.groupBy("hub").agg(F.max(F.struct("held", "comp")).alias("first"), every).select("hub", F.col("first.comp").alias("largest"), F.ceil((F.col("every") - F.col("first.held")) / FAMILY).alias("rests"), F.ceil(F.col("every") / FAMILY).alias("blocks"))
-        placed = rows.join(families, "hub").withColumn("rest", F.col("comp") != F.col("largest")).join(classes.select("cls", "sketch"), "cls")
+        placed = rows.join(_sent(scratch(families)), "hub").withColumn("rest", F.col("comp") != F.col("largest")).join(classes.select("cls", "sketch"), "cls")
         upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
         own = lambda c: F.pmod(F.xxhash64("cls"), F.col(c))
         columns = ["hub", "r", "b", "rest", "cls", "n", "comp", "sketch"]
@@ -468,7 +468,7 @@ class JaccardJoin:
         blocks = scratch(left.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("blocks")))
         heads = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(found.withColumnRenamed("cls", "anchor"), "anchor")
         heads = heads.select("anchor", "block", F.lit(None).cast("long").alias("other"), "own")
-        rest = left.join(blocks, "anchor").withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks"))).join(found.withColumnRenamed("cls", "other"), "other")
+        rest = left.join(_sent(blocks), "anchor").withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks"))).join(found.withColumnRenamed("cls", "other"), "other")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = np.zeros(0, np.uint64)
@@ -556,7 +556,7 @@ class JaccardJoin:
         links = self.verified(pairs, classes, texts, scratch)
         label = connected(links, scratch)
         if grouped:
-            members = starred.join(label.withColumnsRenamed({"id": "cls"}), "cls", "left").select("token", "hub", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
+            members = starred.join(_sent(label).withColumnsRenamed({"id": "cls"}), "cls", "left").select("token", "hub", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
             new = self.families(self.by_hub(members, classes, scratch)).withColumn("flip", F.lit(False))
             new = scratch(self._distinct(new).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
             if not new.isEmpty():
