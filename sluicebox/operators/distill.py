@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pysource as py
 from ..sources.tables import written
-from ..functions.text import shortened
+from ..functions.text import quality_points, shortened
 from .records import DIAGNOSTIC_CHARS
 from .verify import accepted, classify_distilled, verify
 
@@ -126,6 +126,15 @@ def process(problems: DataFrame, first: DataFrame, second: DataFrame, rejections
     return direct.select(*OUTCOME).unionByName(second_way.select(*OUTCOME))
 
 
+def usable_answers(attempts: DataFrame, tries: int, least_points: int = 60) -> DataFrame:
+    """id, attempt and text of the first usable answer of each id: not cut off at its length, and good enough; rows without one are left out.
+
+    attempts: id, attempt (from 0), text, finish_reason; those from `tries` on don't count.
+    """
+    good = (F.coalesce("finish_reason", F.lit("")) != "length") & (quality_points(F.coalesce("text", F.lit(""))) >= least_points)
+    return attempts.filter(F.col("attempt") < max(1, tries)).filter(good).groupBy("id").agg(F.min(F.struct("attempt", "text")).alias("a")).select("id", "a.*")
+
+
 def counters(outcomes: DataFrame) -> DataFrame:
     """One row: how many problems went which way, and why first answers and second ones failed."""
     first, last = F.col("answer_failure"), F.col("failure_type")

@@ -13,6 +13,7 @@ from ..sources import tables
 from . import fixtures as fx
 from .code_queries import ADD, BROKEN, Q, truth
 from .registry import query
+from .text_queries import _POINTS
 
 c = F.col
 
@@ -71,6 +72,14 @@ def process_counters(spark, sf_dir):
     return distill.counters(_outcomes(spark, sf_dir))
 
 
+@query("usable_answers", f"""with {fx.COMPLETIONS}, a as (select doc_id // 3 as id, doc_id % 3 as attempt, text, doc_id % 5 = 0 as cut from completions),
+  g as (select * from a where not cut and ({_POINTS}) >= 60) select id, min(attempt) as attempt, md5(arg_min(text, attempt)) as text_md5 from g where attempt < 2 group by id""")
+def usable_answers(spark, sf_dir):
+    i = c("doc_id")
+    rows = fx.completions(spark, sf_dir).select(F.floor(i / 3).cast("long").alias("id"), (i % 3).alias("attempt"), "text", F.when(i % 5 == 0, "length").otherwise("stop").alias("finish_reason"))
+    return distill.usable_answers(rows, 2).select("id", "attempt", F.md5("text").alias("text_md5"))
+
+
 _TEMPLATES = {"locked": "L {description}|{reference}|{numbered}|{lines}", "guided": "G {description}|{reference}", "explained": "E {description}|{reference}", "scratch": "S {description}"}
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicebox.operators import dedup, distill, evaluation, freeze, overlap, runs, sampling, tokens, verify
-from sluicebox.sources import tables
+from sluicebox.sources import settings, tables
 from sluicebox.streaming import resume
 
 
@@ -342,3 +342,44 @@ def test_prompts_name_what_they_lack(spark):
     for template, parts in (("{a}", {}), ("a", {"b": F.lit(1)}), ("{a:>3}", {"a": F.lit(1)})):
         with pytest.raises(ValueError, match="template"):
             distill.render(template, **parts)
+
+
+def test_settings_have_a_known_form(tmp_path, monkeypatch):
+    tables.write_json({"schema_version": "v2", "stage": "sft"}, str(tmp_path / "a.json"))
+    assert settings.for_stage(settings.load(str(tmp_path / "a.json")), "sft", "v2")["stage"] == "sft"
+    with pytest.raises(ValueError, match="stage"):
+        settings.for_stage({"schema_version": "v2", "stage": "x"}, "sft", "v2")
+    good = dict.fromkeys(settings.JUDGED, 1) | {"criteria": {f"c{k}": {"weight": 0.2} for k in range(5)}, "generation_config": {"max_new_tokens": 5, "batch_size": 1}}
+    assert settings.for_judges(good) is good
+    for change, said in (({"criteria": {"a": {"weight": 1}}}, "1 criteria"), ({"generation_config": {"max_new_tokens": 5, "batch_size": 0}}, "batch_size"), ({"generation_config": {"do_sample": True, "max_new_tokens": 5, "batch_size": 1}}, "temperature")):
+        with pytest.raises(ValueError, match=said):
+            settings.for_judges(good | change)
+    monkeypatch.setenv("SLUICEBOX_TEST_B", "x")
+    assert settings.first_set(["SLUICEBOX_TEST_A", "SLUICEBOX_TEST_B"]) == "x"
+    assert settings.first_set("SLUICEBOX_TEST_A") is None
+    assert [settings.mirrored("https://a/b", m) for m in (" ", "https://m/")] == ["https://a/b", "https://m/https://a/b"]
+
+
+def test_retries_wait_longer_and_stop_at_what_is_fatal():
+    waited, calls = [], []
+
+    def step():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "done"
+
+    assert settings.retried(step, 4, lambda e: False, waited.append) == "done"
+    assert waited == [1.0, 2.0]
+    calls.clear()
+    with pytest.raises(OSError, match="busy"):
+        settings.retried(step, 4, lambda e: True, waited.append)
+    assert len(calls) == 1
+
+
+def test_command_line_lists_queries(capsys):
+    from sluicebox.__main__ import main
+
+    assert main([]) == 0
+    assert "stable_order" in capsys.readouterr().out
+    assert main(["no such query", "x"]) == 2
