@@ -13,7 +13,8 @@ others must reach. If the sample can't fill the answers, queries short of k rows
 fewer than k rows only if there are fewer candidates.
 
 How many lists to look into is learned: on the sample, so many that the true neighbours of sampled queries are found with the
-recall asked for. The sample (at most `sample_rows` rows, by a hash of the id) fits centres and that number; all rows are indexed.
+recall asked for. The sample (by a hash of the id, `sample_rows` rows at most below MAX_LISTS lists' need of LIST_ROWS each) fits centres and
+that number; all rows are indexed. There are about a third of the square root of the number of rows as lists, up to MAX_LISTS.
 
 Zero vectors take no part. Equal scores go to the smaller vec_id. What else takes part, repeated ids, empty tables: see `vectors`.
 """
@@ -34,7 +35,8 @@ from .common import durable
 BLOCK = 16
 EPS = 2.1
 SAMPLE_ROWS = 8192
-MAX_LISTS = 512
+#: Lists at most, and sampled rows that each list needs: a sample of 65,536 rows at most.
+MAX_LISTS, LIST_ROWS = 4096, 16
 KNOWN = 2048
 
 
@@ -43,10 +45,15 @@ def rotation(length: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = 0.5 * (centres * centres).sum(1)[None]
+    return np.concatenate([(half - x[k : k + 4096] @ centres.T).argmin(1) for k in range(0, len(x), 4096)])
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     centres = x[:: max(1, len(x) // k)][:k].copy()
     for _ in range(rounds):
-        owner = (0.5 * (centres * centres).sum(1)[None] - x @ centres.T).argmin(1)
+        owner = nearest_centre(x, centres)
         size = np.bincount(owner, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, owner, x)
@@ -56,7 +63,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
 
 def probes_needed(x: np.ndarray, centres: np.ndarray, k: int, recall: float, queries: int = 256) -> int:
     """How many nearest lists hold `recall` of the k true neighbours of sampled queries among the sample."""
-    owner = (0.5 * (centres * centres).sum(1)[None] - x @ centres.T).argmin(1)
+    owner = nearest_centre(x, centres)
     asked = x[:queries]
     s = asked @ x.T
     np.fill_diagonal(s, -np.inf)
@@ -123,15 +130,16 @@ def nearest(df: DataFrame, query: str | None, k: int = 20, recall: float = 0.97,
     rows, n, length = vectors.taking_part(df, id_col, vector_col, non_zero=True)
     if not n:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    known_ids, known = vectors.sample(rows, sample_rows)
-    centres = k_means(known, max(1, min(MAX_LISTS, len(known) // 16, round(n**0.5 / 3))))
+    lists = max(1, min(MAX_LISTS, round(n**0.5 / 3)))
+    known_ids, known = vectors.sample(rows, max(sample_rows, LIST_ROWS * lists) if sample_rows >= SAMPLE_ROWS else sample_rows)
+    centres = k_means(known, max(1, min(lists, len(known) // LIST_ROWS)))
     probes = probes_needed(known, centres, k, recall)
     known_ids, known = known_ids[:KNOWN], known[:KNOWN]
     turn = rotation(length)
 
     def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = 0.5 * (centres * centres).sum(1)[None] - x @ centres.T
-        return d.argmin(1), d.min(1)
+        cell = nearest_centre(x, centres)
+        return cell, np.zeros(len(x))  # lists have no radius
 
     cells = vectors.in_cells(rows, length, place)
     pages, _ = vectors.page_layout(cells)

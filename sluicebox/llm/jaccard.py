@@ -15,7 +15,7 @@ sequence counts as one n-gram). Two documents link when |A & B| / |A | B| is at
    an aggregate that combines before it shuffles, and their members are found where they are, by a join with the few that are large.
 4. The suffix filter compares sketches: the sum over hash ranges of the smaller count bounds the overlap. What is left is verified
    once per pair, on whole sets, which are computed anew for those documents only: the anchor of a pair (the hub) is sent once to each block of
-   at most FAMILY partners, not once to each partner.
+   its partners, not once to each partner.
 5. Larger groups whose members are then all in one component are done: more links would change nothing. In the others, taken
    together by hub, the members outside the largest component are compared with all members of other components, in pairs of blocks of bounded
    size; only candidates that pass length and suffix filter come out. So no link between two components is lost, and large groups of
@@ -45,8 +45,9 @@ WORDS = 5
 BUCKET_BITS = 18
 #: A group of up to so many classes lists all its pairs at once.
 SMALL = 8
-#: So many members of a larger group are in one block, of which a task compares two.
-FAMILY = 4096
+#: Members of a larger group are dealt over blocks, of which a task compares two: so many blocks times this as the square root of their
+#: number, and no more members to a block than this.
+SPREAD, FAMILY = 8, 1 << 16
 #: An n-gram is dealt to one task only if its bucket holds no more postings than so many, or so many times the mean.
 HOT, HOT_TIMES = 512, 8
 #: Bits by which the documents to verify are picked without a join, for each of them, and at most (8 MB); beyond, a join picks them.
@@ -363,7 +364,8 @@ class JaccardJoin:
         rows = scratch(rows.select("hub", "cls", F.shiftright("size", 24).alias("n"), "comp"))
         comps = rows.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("held"))
         every = F.sum("held").alias("every")
-        families = comps.groupBy("hub").agg(F.max(F.struct("held", "comp")).alias("first"), every).select("hub", F.col("first.comp").alias("largest"), F.ceil((F.col("every") - F.col("first.held")) / FAMILY).alias("rests"), F.ceil(F.col("every") / FAMILY).alias("blocks"))
+        families = comps.groupBy("hub").agg(F.max(F.struct("held", "comp")).alias("first"), every).select("hub", F.col("first.comp").alias("largest"), (F.col("every") - F.col("first.held")).alias("others"), "every", _blocks(F.col("every")).alias("blocks"))
+        families = families.withColumn("rests", F.ceil(F.col("others") * F.col("blocks") / F.col("every"))).drop("others", "every")
         placed = rows.join(_sent(scratch(families)), "hub").withColumn("rest", F.col("comp") != F.col("largest")).join(classes.select("cls", "sketch"), "cls")
         upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
         own = lambda c: F.pmod(F.xxhash64("cls"), F.col(c))
@@ -465,7 +467,7 @@ class JaccardJoin:
         found = self._texts_of(wanted, texts).mapInArrow(whole, "n long, d1 long, d2 long, own binary")
         found = scratch(found.join(wanted.select("cls", *KEY), KEY).dropDuplicates(["cls"]).select("cls", "own"))
         # One copy of an anchor's set for each block of its partners.
-        blocks = scratch(left.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("blocks")))
+        blocks = scratch(left.groupBy("anchor").agg(_blocks(F.count(F.lit(1))).alias("blocks")))
         heads = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(found.withColumnRenamed("cls", "anchor"), "anchor")
         heads = heads.select("anchor", "block", F.lit(None).cast("long").alias("other"), "own")
         rest = left.join(_sent(blocks), "anchor").withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks"))).join(found.withColumnRenamed("cls", "other"), "other")
@@ -607,6 +609,11 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> _U(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _blocks(n: Column) -> Column:
+    """How many blocks so many members are dealt over."""
+    return F.ceil(F.greatest(F.sqrt(n) / SPREAD, n / FAMILY)).cast("long")
+
+
 def _sent(few: DataFrame) -> DataFrame:
     """A written table, to be sent to all tasks if it is small enough; else it is joined by a shuffle, split where skewed."""
     return F.broadcast(few) if few.count() <= SENT_ROWS else few

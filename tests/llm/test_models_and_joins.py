@@ -68,7 +68,7 @@ def outlier(words: int, every: int, n: int, first: int) -> list[tuple[int, str]]
     return [(first + k, " ".join([*base[: k % every + 3], f"x{k}", *base[k % every + 4 :]])) for k in range(n)] + [(first + n, " ".join(base[: words // 2] + [f"z{i}" for i in range(words)]))]
 
 
-@pytest.mark.parametrize("limits", [{"SMALL": 2, "FAMILY": 5}, {"SMALL": 2, "FAMILY": 4, "HOT": 1, "HOT_TIMES": 0}, {"SMALL": 3, "HOT": 3, "HOT_TIMES": 0, "SENT_ROWS": 0, "FILTER_TIMES": 1 << 40}, {"LONG": 40, "LONG_WORDS": 7, "SMALL": 2, "FAMILY": 1}])
+@pytest.mark.parametrize("limits", [{"SMALL": 2, "FAMILY": 5}, {"SMALL": 2, "SPREAD": 1, "HOT": 1, "HOT_TIMES": 0}, {"SMALL": 3, "HOT": 3, "HOT_TIMES": 0, "SENT_ROWS": 0, "FILTER_TIMES": 1 << 40}, {"LONG": 40, "LONG_WORDS": 7, "SMALL": 2, "FAMILY": 1}])
 def test_limits_change_no_links(spark, monkeypatch, limits):
     docs = [*near_copies(7, 6, 20, 50, 4), *outlier(60, 50, 40, 3000), *outlier(30, 20, 9, 4000), (5000, None), (5001, "a"), (5002, "A \t")]
     for name, value in limits.items():
@@ -79,12 +79,12 @@ def test_limits_change_no_links(spark, monkeypatch, limits):
 
 
 def test_one_that_differs_costs_as_many_comparisons_as_there_are_others(spark):
-    """Members of one component aren't compared with each other, nor sent to more than one block."""
+    """Members of one component aren't compared with each other, nor sent to more than one task."""
     join, n = jaccard.JaccardJoin(), 500
     members = spark.range(n).select(F.lit(1).cast("long").alias("token"), F.lit(0).cast("long").alias("hub"), F.col("id").alias("cls"), F.lit(100 << 24).cast("long").alias("size"), F.when(F.col("id") == 7, 7).otherwise(0).cast("long").alias("comp"))
     classes = spark.range(n).select(F.col("id").alias("cls"), F.lit(bytes(64)).alias("sketch"))
     dealt = join.by_hub(members, classes, Scratch()).groupBy("rest").count().collect()
-    assert {r["rest"]: r["count"] for r in dealt} == {True: 1, False: n}
+    assert {r["rest"]: r["count"] for r in dealt} == {True: 3, False: n}  # three blocks meet the one
 
 
 def test_groups_pass_by_in_batches_of_any_size(spark):
@@ -578,6 +578,28 @@ def test_pipeline_is_its_stages(spark, data):
     assert sorted(map(tuple, p.run(spark, data).select(*key).collect())) == sorted(map(tuple, docs.select(*key).collect()))
 
 
+def test_pipeline_of_odd_rows(spark, data, tmp_path):
+    """Null and blank texts, ids that are missing or repeat, missing languages, a very long text: each stage has a result for them."""
+    import corpus_pipeline as p
+
+    docs = q.table(spark, data, "documents")
+    kinds = dict(docs.dtypes)
+    good = max((r for r in docs.filter("lang = 'en'").collect()), key=lambda r: len(set(r["text"].split())) if 900 < len(r["text"]) < 3000 else 0)
+    long = " ".join(good["text"] for _ in range(900))
+    odd = [(90_001, None, "en"), (90_002, "", "en"), (90_003, " \n", None), (None, good["text"], "en"), (90_004, long, None), (90_005, good["text"] + " one more", None), (90_005, "!" * 5000, "en"), (90_005, good["text"] + " one more", None)]
+    rows = [tuple({"doc_id": i, "text": t, "lang": lang, "source": None, "n_chars": len(t or "")}[c] for c in docs.columns) for i, t, lang in odd]
+    frame = docs.unionByName(spark.createDataFrame(rows, ", ".join(f"{c} {kinds[c]}" for c in docs.columns)))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    q.table(spark, data, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    out = p.run(spark, str(tmp_path)).toPandas()
+    ends = (out["offset"] + out["length"]).groupby(out["sequence_id"]).max()
+    assert (ends == out.groupby("sequence_id")["length"].sum()).all()
+    assert ends.max() <= 1024
+    kept = set(out["doc_id"].dropna().astype(int))
+    assert not kept & {90_001, 90_002, 90_003}  # without a letter no language
+    assert len(kept & {r["doc_id"] for r in docs.collect()}) > 20
+
+
 def test_pipeline_of_an_empty_table(spark, data, tmp_path):
     import corpus_pipeline as p
 
