@@ -8,6 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import pysource as py
+from ..functions.text import json_or
 from ..operators import distill, evaluation, freeze, runs, sampling
 from ..sources import tables
 from . import fixtures as fx
@@ -302,3 +303,36 @@ def max_items(spark, sf_dir):
 def failing_variants(spark, sf_dir):
     rows = fx.generations(spark, sf_dir).withColumn("failure_type", F.when(c("pass_rate") < 1.0, "wrong_answer"))
     return evaluation.failure_histogram(rows).select("variant", c("n").alias("failing"))
+
+
+# Small things of the driver.
+
+
+@query("src_split_alias", "select unnest(['train', 'test', 'Valid', ' validation', 'EVAL', 'dev ']) as name, unnest(['train', 'test', 'test', 'test', 'test', 'test']) as split")
+def split_alias(spark, sf_dir):  # noqa: ARG001
+    names = ["train", "test", "Valid", " validation", "EVAL", "dev "]
+    return spark.createDataFrame([(n, tables.split_name(n)) for n in names], "name string, split string")
+
+
+@query("adapter_fingerprint", "select sha256(sha256(string_agg(x, chr(10) order by x) || chr(10)) || sha256('b' || chr(10))) as fingerprint from (select distinct lang as x from documents where lang is not null)")
+def adapter_fingerprint(spark, sf_dir):
+    folder = tables.scratch(spark)
+    langs = fx.table(spark, sf_dir, "documents").filter("lang is not null").select("lang").distinct().coalesce(1).sortWithinPartitions("lang")
+    langs.write.text(f"{folder}/a")
+    spark.range(1).select(F.lit("b")).coalesce(1).write.text(f"{folder}/b")
+    return spark.createDataFrame([(tables.fingerprint(spark, [f"{folder}/a/*.txt", f"{folder}/b/*.txt"]),)], "fingerprint string")
+
+
+@query("sink_report_md", """select '# Languages' || chr(10) || chr(10) || '| lang | n |' || chr(10) || '|-|-|' || chr(10) || string_agg('| ' || lang || ' | ' || n::varchar || ' |' || chr(10), '' order by lang) as report
+  from (select lang, count(*) as n from documents where lang is not null group by lang)""")
+def report_md(spark, sf_dir):
+    counts = fx.table(spark, sf_dir, "documents").filter("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang")
+    return spark.createDataFrame([(tables.markdown(counts, "Languages"),)], "report string")
+
+
+truth(
+    "json_list",
+    [{"text": '["a", 1, null]'}, {"text": "[1"}, {"text": ""}, {"text": None}, {"text": '{"a": 1}'}, {"text": "[]"}],
+    [{"items": "a,1", "n": 3}, {"items": "", "n": 0}, {"items": "", "n": 0}, {"items": "", "n": 0}, {"items": "", "n": 0}, {"items": "", "n": 0}],
+    lambda rows: rows.withColumn("l", json_or(c("text"), "array<string>", F.array().cast("array<string>"))).withColumn("l", F.when(F.startswith(F.ltrim("text"), F.lit("[")), c("l")).otherwise(F.array().cast("array<string>"))).select("doc_id", F.array_join("l", ",").alias("items"), F.size("l").cast("long").alias("n")),
+)
