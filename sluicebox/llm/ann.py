@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import durable
+from .common import Scratch, durable
 
 BLOCK = 16
 EPS = 2.1
@@ -141,7 +141,8 @@ def nearest(df: DataFrame, query: str | None, k: int = 20, recall: float = 0.97,
         cell = nearest_centre(x, centres)
         return cell, np.zeros(len(x))  # lists have no radius
 
-    cells = vectors.in_cells(rows, length, place)
+    scratch = Scratch()
+    cells = vectors.in_cells(rows, length, place, scratch)
     pages, _ = vectors.page_layout(cells)
 
     def build(ids: np.ndarray, x: np.ndarray) -> bytes:
@@ -186,20 +187,24 @@ def nearest(df: DataFrame, query: str | None, k: int = 20, recall: float = 0.97,
         ids, o, turned, prefix = pickle.loads(content)
         return scan(query_ids, q, (q @ turn).astype(np.float32), ids, o.astype(float), turned, prefix, reach, k)[:3]
 
-    asked = durable(cells.select("vec_id", "vec").filter(F.expr(query) if query else F.lit(True)))
-    lists = durable(vectors.packed_pages(cells, length, pages, build))
+    asked = scratch(cells.select("vec_id", "vec").filter(F.expr(query) if query else F.lit(True)))
+    lists = scratch(vectors.packed_pages(cells, length, pages, build))
     # The nearest lists first: their k-th best score bounds what the others need to give.
     first = max(1, probes // 8)
     near = vectors.query_tasks(asked.withColumn("reach", F.lit(float("-inf"))), length, send(0, first))
     sampled = asked.mapInArrow(from_known, "query_id long, vec_id long, score double")
-    found = durable(vectors.best(vectors.answers(near, lists, search, k, "double").drop("rank").unionByName(sampled), k))
+    found = scratch(vectors.best(vectors.answers(near, lists, search, k, "double").drop("rank").unionByName(sampled), k))
     reach = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("reach"))
     rest = vectors.query_tasks(asked.join(reach, "vec_id", "left").select("vec_id", "vec", F.coalesce("reach", F.lit(float("-inf"))).alias("reach")), length, send(first, probes))
     more = vectors.answers(rest, lists, search, k, "double")
     out = vectors.best(found.unionByName(more).drop("rank"), k)
-    if len(known) > k or n <= min(sample_rows, KNOWN):
-        return out  # the sample holds k rows beside the query, or all rows
+    if len(known) <= k and n > len(known):
+        # The sample may not fill the answers: queries that are short of k rows look into all lists.
+        out = scratch(out)
+        short = asked.join(out.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+        last = vectors.query_tasks(short.withColumn("reach", F.lit(float("-inf"))), length, send(probes, len(centres)))
+        out = vectors.best(out.unionByName(vectors.answers(last, lists, search, k, "double")).drop("rank"), k)
+    # The answers are few; with them written, all else can go.
     out = durable(out)
-    short = asked.join(out.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    last = vectors.query_tasks(short.withColumn("reach", F.lit(float("-inf"))), length, send(probes, len(centres)))
-    return vectors.best(out.unionByName(vectors.answers(last, lists, search, k, "double")).drop("rank"), k)
+    scratch.clear()
+    return out

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import durable
+from .common import Scratch, durable
 
 NODE = 32
 #: Routing objects of the first level at most: about the square root of the number of rows below that.
@@ -173,7 +173,8 @@ def top_k(df: DataFrame, query: str | None, k: int = 5, scale: float = 256.0, id
         d = distances(lifted(to_integers(x, scale), longest), high)
         return d.argmin(1), d.min(1)
 
-    cells = vectors.in_cells(rows, length, place)
+    scratch = Scratch()
+    cells = vectors.in_cells(rows, length, place, scratch)
     pages, spread = vectors.page_layout(cells)
     # The first level of the tree, for all tasks: a centre and a radius for each cell.
     page_of = np.array([p for numbers in pages.values() for p in numbers])
@@ -234,12 +235,15 @@ def top_k(df: DataFrame, query: str | None, k: int = 5, scale: float = 256.0, id
     along = F.array(*map(F.lit, _order(centres).tolist()))
     dealt = asked.repartitionByRange(max(1, -(-asked.count() // BLOCK)), F.get(along, F.col("cell").cast("int")), F.xxhash64("vec_id"))
     # Written once: the blocks of a task and their pages must come from one run of it.
-    tasks = durable(dealt.mapInArrow(plan, "block long, grp long, nth long, page long, asked binary"))
+    tasks = scratch(dealt.mapInArrow(plan, "block long, grp long, nth long, page long, asked binary"))
     contents = vectors.packed_pages(cells, length, pages, build)
     heads = tasks.filter("page is null").select("block", "grp", "nth", F.col("asked").alias("content"))
     rest = tasks.filter("page is not null").select("block", "grp", "nth", "page").join(contents, "page").select("block", "grp", "nth", "content")
     together = heads.unionByName(rest).repartition("block", "grp").sortWithinPartitions("block", "grp", "nth")
-    return vectors.best(together.mapInArrow(search, "query_id long, vec_id long, score long"), k)
+    # The answers are few; with them written, all else can go.
+    out = durable(vectors.best(together.mapInArrow(search, "query_id long, vec_id long, score long"), k))
+    scratch.clear()
+    return out
 
 
 def _order(centres: np.ndarray) -> np.ndarray:

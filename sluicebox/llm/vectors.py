@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import Scratch
 
 MAX_CELLS = 512
 PAGE_ROWS = 512
@@ -53,8 +53,8 @@ def matrix(column: pa.Array, length: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
 
 
-def in_cells(rows: DataFrame, length: int, place: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """vec_id, vec, cell and spread; place: vectors -> (cell, distance from its centre)."""
+def in_cells(rows: DataFrame, length: int, place: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], scratch: Scratch) -> DataFrame:
+    """vec_id, vec, cell and spread, written; place: vectors -> (cell, distance from its centre)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +62,7 @@ def in_cells(rows: DataFrame, length: int, place: Callable[[np.ndarray], tuple[n
                 cell, spread = place(matrix(batch.column("vec"), length))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64()), pa.array(spread, pa.float64())], ["vec_id", "vec", "cell", "spread"])
 
-    return durable(rows.mapInArrow(work, "vec_id long, vec array<double>, cell long, spread double"))
+    return scratch(rows.mapInArrow(work, "vec_id long, vec array<double>, cell long, spread double"))
 
 
 def page_layout(cells: DataFrame, page_rows: int = PAGE_ROWS) -> tuple[dict[int, range], dict[int, float]]:
