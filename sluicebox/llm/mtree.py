@@ -167,6 +167,9 @@ def top_k(df: DataFrame, query: str | None, k: int = 5, scale: float = 256.0, id
     slack = slack_of(longest, length)
     centre_ids, centres = vectors.sample(rows, min(MAX_CENTRES, max(1, round(n**0.5))))
     centres = to_integers(centres, scale)
+    # Numbers of cells follow the direction in which centres differ most, so cells with near numbers are not far from each other.
+    along = _along(centres)
+    centre_ids, centres = centre_ids[along], centres[along]
     high = lifted(centres, longest)
 
     def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,9 +234,8 @@ def top_k(df: DataFrame, query: str | None, k: int = 5, scale: float = 256.0, id
             yield done()
 
     asked = cells.select("vec_id", "vec", "cell").filter(F.expr(query) if query else F.lit(True))
-    # Queries of near cells come together: cells in the order of their centres' places along the direction in which centres differ most.
-    along = F.array(*map(F.lit, _order(centres).tolist()))
-    dealt = asked.repartitionByRange(max(1, -(-asked.count() // BLOCK)), F.get(along, F.col("cell").cast("int")), F.xxhash64("vec_id"))
+    # Queries of near cells come together.
+    dealt = asked.repartitionByRange(max(1, -(-asked.count() // BLOCK)), "cell", F.xxhash64("vec_id"))
     # Written once: the blocks of a task and their pages must come from one run of it.
     tasks = scratch(dealt.mapInArrow(plan, "block long, grp long, nth long, page long, asked binary"))
     contents = vectors.packed_pages(cells, length, pages, build)
@@ -246,8 +248,7 @@ def top_k(df: DataFrame, query: str | None, k: int = 5, scale: float = 256.0, id
     return out
 
 
-def _order(centres: np.ndarray) -> np.ndarray:
-    """The place of each centre along the direction in which they differ most."""
+def _along(centres: np.ndarray) -> np.ndarray:
+    """Centres in order along the direction from their mean to the one farthest from it."""
     middle = centres - centres.mean(0)
-    direction = middle[int((middle * middle).sum(1).argmax())]
-    return np.argsort(np.argsort(middle @ direction, kind="stable"), kind="stable")
+    return np.argsort(middle @ middle[int((middle * middle).sum(1).argmax())], kind="stable")
