@@ -619,12 +619,6 @@ def _sent(few: DataFrame) -> DataFrame:
     return F.broadcast(few) if few.count() <= SENT_ROWS else few
 
 
-def _jumped(parent: DataFrame) -> DataFrame:
-    """Each node's parent's parent, and whether that is another."""
-    upper = parent.select(F.col("id").alias("up"), F.col("up").alias("next"))
-    return parent.join(upper, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.coalesce("next", "up") != F.col("up")).alias("moved"))
-
-
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id and comp (the smallest id of its component) of each node of undirected edges a, b."""
     edges = scratch(edges.select("a", "b").filter("a <> b").distinct())
@@ -632,13 +626,15 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = scratch(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
+        # One row for each node still open: sent to all tasks where these are few.
+        sent = F.broadcast if parent.count() <= SENT_ROWS else (lambda df: df)
+        above = lambda parent, name: sent(parent.select(F.col("id").alias(name), F.col("up").alias(f"up_{name}")))  # noqa: E731, B023
         while True:
-            twice = _jumped(parent)
-            jumped = scratch(_jumped(twice.select("id", "up")))
-            parent = jumped.select("id", "up")
-            if jumped.filter("moved").isEmpty():
+            # Each node's parent's parent, until that is no other.
+            jumped = scratch(parent.join(above(parent, "up"), "up", "left").select("id", F.coalesce("up_up", "up").alias("next"), "up"))
+            parent = jumped.select("id", F.col("next").alias("up"))
+            if jumped.filter("next <> up").isEmpty():
                 break
-        label = scratch(label.join(parent.select(F.col("id").alias("comp"), "up"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")))
-        up = lambda name: parent.select(F.col("id").alias(name), F.col("up").alias(f"up_{name}"))
-        edges = scratch(edges.join(up("a"), "a").join(up("b"), "b").filter("up_a <> up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+        label = scratch(label.join(above(parent, "comp"), "comp", "left").select("id", F.coalesce("up_comp", "comp").alias("comp")))
+        edges = scratch(edges.join(above(parent, "a"), "a").join(above(parent, "b"), "b").filter("up_a <> up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
     return label
