@@ -47,7 +47,7 @@ BUCKET_BITS = 18
 SMALL = 8
 #: Members of a larger group are dealt over blocks, of which a task compares two: so many blocks times this as the square root of their
 #: number, and no more members to a block than this.
-SPREAD, FAMILY = 8, 1 << 16
+SPREAD, FAMILY = 4, 1 << 16
 #: An n-gram is dealt to one task only if its bucket holds no more postings than so many, or so many times the mean.
 HOT, HOT_TIMES = 512, 8
 #: Bits by which the documents to verify are picked without a join, for each of them, and at most (8 MB); beyond, a join picks them.

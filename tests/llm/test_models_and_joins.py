@@ -84,7 +84,7 @@ def test_one_that_differs_costs_as_many_comparisons_as_there_are_others(spark):
     members = spark.range(n).select(F.lit(1).cast("long").alias("token"), F.lit(0).cast("long").alias("hub"), F.col("id").alias("cls"), F.lit(100 << 24).cast("long").alias("size"), F.when(F.col("id") == 7, 7).otherwise(0).cast("long").alias("comp"))
     classes = spark.range(n).select(F.col("id").alias("cls"), F.lit(bytes(64)).alias("sketch"))
     dealt = join.by_hub(members, classes, Scratch()).groupBy("rest").count().collect()
-    assert {r["rest"]: r["count"] for r in dealt} == {True: 3, False: n}  # three blocks meet the one
+    assert {r["rest"]: r["count"] for r in dealt} == {True: 6, False: n}  # six blocks meet the one
 
 
 def test_groups_pass_by_in_batches_of_any_size(spark):
