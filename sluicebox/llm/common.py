@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a step holds in work arrays at once.
-SLICE_BYTES = 3 << 20
+#: Characters of text that a step holds in work arrays at once; steps with wide arrays for each byte take fewer.
+SLICE_BYTES, NARROW_SLICE = 3 << 20, 1 << 20
 
 
 #: Rows and bytes of an Arrow batch: whole texts vary in length, and two Python workers share an executor with the JVM.
@@ -131,7 +131,7 @@ def at_blanks(text: str, size: int | None = None) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
 
-def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, function: Callable[[], Callable[[list[str], pa.RecordBatch], dict]]) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, function: Callable[[], Callable[[list[str], pa.RecordBatch], dict]], limit: int = SLICE_BYTES) -> DataFrame:
     """Columns `keep` of df beside what the function returns for each text.
 
     function() is called once per task and returns the worker: (texts, their rows) -> {column: values}.
@@ -147,7 +147,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], schema: str, functi
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = function()
         for batch in batches:
-            for rows, texts in text_slices(batch, "__text"):
+            for rows, texts in text_slices(batch, "__text", limit):
                 got = worker(texts, rows)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *(_array(got[n]) for n in names)], [*keep, *names])
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, durable, sums_by_chunk, text_slices
+from .common import NARROW_SLICE, Scratch, durable, sums_by_chunk, text_slices
 
 WORDS = 5
 BUCKET_BITS = 18
@@ -55,7 +55,7 @@ FILTER_TIMES, FILTER_BITS = 16, 26
 #: Rows of a table that is sent to all tasks at most (16 bytes each); beyond, a join by shuffle takes its place.
 SENT_ROWS = 1 << 20
 #: Texts of more characters are gone through in blocks of so many words.
-LONG, LONG_WORDS = 4 << 20, 200_000
+LONG, LONG_WORDS = 2 << 20, 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _U = np.uint64
@@ -209,7 +209,7 @@ class JaccardJoin:
         def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             out = np.zeros(1 << BUCKET_BITS, np.int64)
             for batch in batches:
-                for _, part in text_slices(batch, "__text"):
+                for _, part in text_slices(batch, "__text", NARROW_SLICE):
                     hashes, _ = shingles(part, words)
                     out += np.bincount((hashes >> _U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(out))
             _forget_powers()
@@ -227,7 +227,7 @@ class JaccardJoin:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = shared.value.astype(np.uint64)
             for batch in batches:
-                for rows, part in text_slices(batch, "__text"):
+                for rows, part in text_slices(batch, "__text", NARROW_SLICE):
                     n, digest, prefixes, sketches = [], [], [], []
                     for own in sets(part, words):
                         n.append(len(own))
@@ -458,7 +458,7 @@ class JaccardJoin:
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, part in text_slices(batch, "__text"):
+                for _, part in text_slices(batch, "__text", NARROW_SLICE):
                     found = sets(part, words)
                     columns = zip(*((len(own), *digests(own)) for own in found), strict=True)
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([own.tobytes() for own in found], pa.binary())], [*KEY, "own"])

@@ -134,7 +134,7 @@ def sampled(rows: DataFrame, key: str, stratum: str, most: int) -> DataFrame:
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, texts in text_slices(batch, "__text"):
+        for rows, texts in text_slices(batch, "__text", common.NARROW_SLICE):
             languages = np.array(rows.column("__lang").to_pylist(), object)
             for language in sorted(set(languages)):
                 own = [t.encode() for t, x in zip(texts, languages, strict=True) if x == language]
@@ -214,7 +214,7 @@ def code_lengths(texts: list[str], model: Model) -> np.ndarray:
         return _code_lengths([(PAD, t.encode()) for t in texts], model)
     out = np.zeros((len(model.languages), len(texts)))
     for k, text in enumerate(texts):
-        data, size = PAD + text.encode(), common.LONG
+        data, size = PAD + text.encode(), common.NARROW_SLICE
         for at in range(ORDER, len(data), size):
             out[:, k] += _code_lengths([(data[at - ORDER : at], data[at : at + size])], model)[:, 0]
     return out
@@ -267,4 +267,4 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str
 
         return worker
 
-    return map_texts(df, text_col, keep, "lang_pred string, score double", function)
+    return map_texts(df, text_col, keep, "lang_pred string, score double", function, common.NARROW_SLICE)
