@@ -108,8 +108,40 @@ truth(
   from documents where not contains(text, '```')""")
 def extract_code_texts(spark, sf_dir):
     """Whole documents in the wraps of the fixtures; documents with fences of their own are left to `extract_code`."""
-    rows = fx.completions(spark, sf_dir).join(fx.table(spark, sf_dir, "documents").filter("not contains(text, '```')").select("doc_id"), "doc_id", "left_semi")
-    return rows.select("doc_id", py.column(py.extract_code, "string", nulls=True)("text").alias("code"))
+    return _wrapped(spark, sf_dir).select("doc_id", py.column(py.extract_code, "string", nulls=True)("text").alias("code"))
+
+
+_NO_FENCE = "not contains(text, '```')"
+
+
+def _wrapped(spark, sf_dir):  # noqa: ANN001, ANN202
+    plain = fx.table(spark, sf_dir, "documents").filter(_NO_FENCE).select("doc_id")
+    return fx.completions(spark, sf_dir).join(plain, "doc_id", "left_semi")
+
+
+_NEW = f"'{Q}python' || chr(10) || 'z' || chr(10) || '{Q}'"
+
+
+@query("replace_final_block_texts", rf"""select doc_id, md5(case doc_id % 7 when 0 then regexp_replace(text, '\s+$', '') || chr(10) || chr(10) || {_NEW}
+    when 1 then text || chr(10) || '{Q}python' || chr(10) || 'print(1)' || chr(10) || chr(10) || {_NEW}
+    when 2 then {_NEW} || chr(10) || text when 3 then '## Idea one' || chr(10) || text || chr(10) || '## Idea two' || chr(10) || {_NEW} || chr(10)
+    when 4 then '**Step 1** read' || chr(10) || '**Step 2** add' || chr(10) || {_NEW} || chr(10) || 'Time complexity O(n). ' || text
+    when 5 then '{Q}python' || chr(10) || 'print(3)' || chr(10) || '{Q}' || chr(10) || text || chr(10) || '  ' || {_NEW} || chr(10) || 'REFERENCE_SOLUTION'
+    else '## Plan' || chr(10) || '1. **First** 首先 因为' || chr(10) || text || chr(10) || {_NEW} || chr(10) || 'O(n log n) 最后 总结 所以' || chr(10) end) as out_md5 from documents where {_NO_FENCE}""")
+def replace_final_block_texts(spark, sf_dir):
+    return _wrapped(spark, sf_dir).select("doc_id", F.md5(py.column(py.replace_final_block, "string")("text", F.lit(" z "))).alias("out_md5"))
+
+
+@query("static_validity_texts", f"""select doc_id, 1.0::double as score, case when doc_id % 7 = 4 then 'solve' else '' end as functions, (case when doc_id % 7 = 3 then 166 else 236 end)::bigint as points
+  from documents where {_NO_FENCE} and doc_id % 7 in (3, 4)""")
+def static_validity_texts(spark, sf_dir):
+    """The code of whole texts, by its mode: what it scores as a candidate, whether it is valid, what it declares."""
+    mode, name = F.when(c("doc_id") % 7 == 4, "call_based").otherwise("standard_input"), F.when(c("doc_id") % 7 == 4, "solve")
+    rows = _wrapped(spark, sf_dir).filter(c("doc_id") % 7 > 2).filter(c("doc_id") % 7 < 5).withColumn("code", py.column(py.extract_code, "string", nulls=True)("text", mode, name))
+    score = py.column(py.static_validity, "double", nulls=True)("code", mode, name)
+    functions = py.column(lambda code: ",".join(py.declared_functions(code)), "string")("code")
+    points = py.column(lambda code, m, n: py.candidate_score(code, True, m, n), "long")("code", mode, name)
+    return rows.select("doc_id", score.alias("score"), functions.alias("functions"), points.alias("points"))
 
 
 # Frozen runs.
