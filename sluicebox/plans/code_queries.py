@@ -232,7 +232,7 @@ truth(
     lambda rows: rows.select("doc_id", _contract("text").alias("score")),
 )
 
-# By execution: each distinct program runs once.
+# By execution: each distinct program runs once. All are constants of this file, so they are trusted, on a cluster too.
 
 _VERIFY = [
     {"code": ECHO, "cases": '[{"input": "2\\n", "output": "4"}, {"input": "5", "output": "10\\n"}]', "io_mode": "standard_input", "fn_name": None},
@@ -261,7 +261,7 @@ truth(
 def _scored(rows):  # noqa: ANN001, ANN202
     """Completion -> code -> static check and one verification -> reward."""
     rows = rows.withColumn("code", _extract("text", "io_mode", "fn_name"))
-    rows = verify.verify(rows, timeout=2.0).withColumn("static", _static("code", "io_mode", "fn_name")).withColumn("contract", _contract("text"))
+    rows = verify.verify(rows, timeout=2.0, command=verify.local).withColumn("static", _static("code", "io_mode", "fn_name")).withColumn("contract", _contract("text"))
     rate = F.when(~c("unsupported"), c("pass_rate")).otherwise(0.0)
     return rows.withColumn("r", verify.combined_reward(c("static"), rate, c("contract"))).select("doc_id", "r.total", "r.code_reward", "r.static_validity")
 
