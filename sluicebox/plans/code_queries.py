@@ -254,7 +254,7 @@ truth(
         {"passed_cases": 2, "total_cases": 2, "pass_rate": 1.0, "unsupported": False, "error": None}, {"passed_cases": 1, "total_cases": 1, "pass_rate": 1.0, "unsupported": False, "error": None}, {"passed_cases": 0, "total_cases": 1, "pass_rate": 0.0, "unsupported": True, "error": "no top-level function or Solution.sub found"},
         {"passed_cases": 1, "total_cases": 2, "pass_rate": 0.5, "unsupported": False, "error": None}, {"passed_cases": 0, "total_cases": 1, "pass_rate": 0.0, "unsupported": False, "error": "timeout after 2.0s"}, {"passed_cases": 0, "total_cases": 1, "pass_rate": 0.0, "unsupported": False, "error": "missing code"}, {"passed_cases": 0, "total_cases": 0, "pass_rate": 0.0, "unsupported": True, "error": "missing test cases"},
     ],
-    lambda rows: verify.verify(rows, timeout=2.0),
+    lambda rows: verify.verify(rows, timeout=2.0, command=verify.local),
 )
 
 
