@@ -285,7 +285,7 @@ def _references(rows):  # noqa: ANN001, ANN202
 
     lists = rows.withColumn("solutions", F.from_json("solutions", "array<string>"))
     ranked = candidates.rank_candidates(lists, "doc_id", "solutions").join(rows.select("doc_id", "cases", "io_mode", "fn_name"), "doc_id")
-    chosen = first_passing(verify.verify_in_waves(ranked, "doc_id", timeout=2.0), "doc_id", "rank", "pass_rate")
+    chosen = first_passing(verify.verify_in_waves(ranked, "doc_id", timeout=2.0, command=verify.local), "doc_id", "rank", "pass_rate")
     return chosen.select("doc_id", c("selected_rank").cast("long").alias("selected_rank"), "attempted")
 
 

@@ -22,7 +22,7 @@ def test_others_must_choose(cluster):
         verify.verify(rows)
 
 
-@pytest.mark.parametrize("name", ["process_counters", "process_one", "score_completion", "verify_code"])
+@pytest.mark.parametrize("name", ["process_counters", "process_one", "score_completion", "verify_code", "verify_reference"])
 def test_same_as_sql_on_a_cluster(name, cluster, data, duck):
     got = catalogue.QUERIES[name](cluster, data)
     want = duck.sql(catalogue.ORACLES[name])
