@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import latest
-from ..sources.tables import exists
+from ..sources.tables import exists, json_lines
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -46,6 +46,13 @@ def resume(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def files_by_batch(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """batch and files: how many files each micro-batch of a job has read, by the log of its one source. (`inputFiles` in a step tells of the target alone.)"""
+    # A line that is no entry names the log's version; compacted files repeat entries.
+    log = json_lines(spark, f"{checkpoint}/sources/0", "path string, batchId long", strict=False).filter("path is not null").distinct()
+    return log.groupBy(F.col("batchId").alias("batch")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def unresolved(attempts: DataFrame, accepted: DataFrame, key: str, order: str) -> DataFrame:
     """The last rejection of each key that was never accepted."""
     return latest(attempts, key, order).join(accepted.select(key).distinct(), key, "left_anti")
