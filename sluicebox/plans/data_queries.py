@@ -17,8 +17,8 @@ L = "long"
 
 @query("src_provenance", "select doc_id, row_number() over () - 1 as row_in_file, row_number() over () - 1 as global_index from documents")
 def provenance(spark, sf_dir):
-    """Place in the file and over all files; the tables have one file each, read in its order."""
-    rows = tables.with_provenance(fx.table(spark, sf_dir, "documents"))
+    """Place in the file and over all files; each table is one file, also where it is a folder of parts, read in its order."""
+    rows = tables.with_provenance(fx.table(spark, sf_dir, "documents"), F.lit(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", F.col("row_in_file").cast(L).alias("row_in_file"), F.col("global_index").cast(L).alias("global_index"))
 
 

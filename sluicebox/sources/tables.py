@@ -45,12 +45,19 @@ def parquet_split(spark: SparkSession, root: str, split: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}-*.parquet")
 
 
-def with_provenance(rows: DataFrame) -> DataFrame:
-    """Adds file, row_in_file and global_index (files by name, rows by place); only one row per file is sorted as a whole."""
-    rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_in_file"))
-    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(before, "file").withColumn("global_index", F.col("before") + F.col("row_in_file")).drop("before")
+def with_provenance(rows: DataFrame, file: Column | None = None) -> DataFrame:
+    """Adds file, row_in_file and global_index (files by name, rows by place); only one row per file is sorted as a whole.
+
+    file: what a file read is a part of, where a writer has made several of one; rows are then numbered through the parts, by their names.
+    """
+    part = F.col("_metadata.file_path")
+    rows = rows.select("*", (part if file is None else file).alias("file"), part.alias("__part"), F.col("_metadata.row_index").alias("__row"))
+    counts = rows.groupBy("file", "__part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select("__part", ahead(Window.partitionBy("file").orderBy("__part")).alias("__in_file"), ahead(Window.orderBy("file", "__part")).alias("__before"))
+    # One row for each file read.
+    placed = rows.join(F.broadcast(before), "__part").withColumns({"row_in_file": F.col("__in_file") + F.col("__row"), "global_index": F.col("__before") + F.col("__row")})
+    return placed.drop("__part", "__row", "__in_file", "__before")
 
 
 def code_contests(rows: DataFrame, most: int | None = None) -> DataFrame:
