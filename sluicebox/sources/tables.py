@@ -183,6 +183,18 @@ def written(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch of whole texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of an Arrow batch to what whole texts need; lower ones stay. It bounds memory, no results."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def release(spark: SparkSession) -> None:
     """Removes all tables that this application has written to the shared folder, once nothing reads them any more."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark)).getParent()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from test_catalogue import rows_of
 
@@ -27,3 +29,11 @@ def test_same_as_sql_on_a_cluster(name, cluster, data, duck):
     got = catalogue.QUERIES[name](cluster, data)
     want = duck.sql(catalogue.ORACLES[name])
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall())
+
+
+def test_counters_do_not_read_texts(spark, data):
+    """Answers are read once; what is counted comes from the columns beside them."""
+    plan = catalogue.QUERIES["process_counters"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
+    assert read
+    assert not [x for x in read if "answer#" in x or "locked#" in x]
